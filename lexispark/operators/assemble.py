@@ -23,14 +23,14 @@ def _rows(df: DataFrame, key: str, first: Sequence[str], name: str) -> DataFrame
     """Rows of a child table as one ordered array per entry."""
     first = [c for c in first if c in df.columns]
     rest = [c for c in df.columns if c not in first and c != key]
-    return df.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_list(F.struct(*first, *rest))).alias(name))
+    return df.groupBy(F.col(key).alias("id")).agg(F.sort_array(F.collect_list(F.struct(*first, *rest))).alias(name))
 
 
 def _drop(struct_cols: Sequence[str], x, *keys):
     return F.struct(*[x[c].alias(c) for c in struct_cols if c not in keys])
 
 
-def assemble_entries(tables: dict[str, DataFrame], ids: DataFrame | None = None) -> DataFrame:
+def assemble_entries(tables: dict[str, DataFrame], ids: DataFrame | None = None, reverse: bool = True) -> DataFrame:
     """One row per entry with its readings, kanji, senses and the rest nested in order.
 
     Each child table is shuffled once, by entry; the two-level nesting (a reading's tags,
@@ -39,7 +39,8 @@ def assemble_entries(tables: dict[str, DataFrame], ids: DataFrame | None = None)
     """
     t = dict(tables)
     if "xref" in t:
-        t["xrer"] = t["xref"].where(~F.col("lowpri"))
+        if reverse:
+            t["xrer"] = t["xref"].where(~F.col("lowpri"))
         if "xref" not in t["xref"].columns:
             SORT = ["xentr", "xsens", "typ"]
         else:

@@ -95,7 +95,7 @@ def text_histogram(texts: DataFrame, col: str, by: str = "block", blocks: DataFr
         named = n.withColumn("grp", block_name("ch"))
     # At most 1.1 million distinct characters exist, so a group's set is bounded.
     out = named.groupBy("grp").agg(
-        F.sum("n").alias("total"), F.count(F.lit(1)).alias("uniq"), F.array_sort(F.collect_list("ch")).alias("_c")
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("uniq"), F.sort_array(F.collect_list("ch")).alias("_c")
     )
     return out.select("grp", "total", "uniq", F.when(F.col("uniq") < 100, F.array_join("_c", "")).alias("chars"))
 

@@ -40,7 +40,7 @@ def inflect(
     u = u.join(stagk.select("entr", "sens", F.col("kanj").alias("knum")), ["entr", "sens", "knum"], "left_anti")
     u = u.join(restr.select("entr", F.col("rdng").alias("rnum"), F.col("kanj").alias("knum")), ["entr", "rnum", "knum"], "left_anti")
     u = u.select("entr", F.col("kw").alias("pos"), "knum", "ktxt", "rnum", "rtxt").distinct()
-    notes = conjo_notes.groupBy("pos", "conj", "neg", "fml", "onum").agg(F.array_sort(F.collect_list("note")).alias("notes"))
+    notes = conjo_notes.groupBy("pos", "conj", "neg", "fml", "onum").agg(F.sort_array(F.collect_list("note")).alias("notes"))
     rules = (
         conjo.where("okuri IS NOT NULL").select("pos", "conj", "neg", "fml", "onum", "stem", "okuri", "euphr", "euphk")
         .join(conj.select(F.col("id").alias("conj"), F.col("name").alias("ctxt")), "conj")

@@ -63,8 +63,8 @@ def _with_keys(refs: DataFrame) -> DataFrame:
     )
 
 
-def reference_candidates(refs: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
-    """R1 (a): references with groups of possible targets.
+def _grouped_candidates(refs: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """References with groups of possible targets.
 
     Columns of `refs` plus tsrc, tstat, tunap, rdng, kanj, nokanji, nentr (entries in the
     group), targ (lowest id) and nsens (most senses); nulls where nothing matches.  An
@@ -103,10 +103,17 @@ def reference_candidates(refs: DataFrame, targets: dict[str, DataFrame]) -> Data
     return out.select(
         *refs.columns, *[F.when(~alone, F.col(c)).alias(c) for c in cols],
         F.when(~alone, F.col("_n")).alias("nentr"), F.when(~alone, F.col("_ns")).alias("nsens"),
-        alone.alias("_only_self"),
     )
 
 
+def reference_candidates(refs: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """R1 (a) / U1: references with groups of possible targets, one row of nulls where
+    nothing but the referring entry itself matched."""
+    out = _grouped_candidates(refs, targets)
+    found = out.groupBy(*REF).agg(F.max(F.col("targ").isNotNull()).alias("_f"))
+    return out.join(found, REF).where("targ IS NOT NULL OR NOT _f").drop("_f").distinct()
+
+
 def resolve_references(
     xresolv: DataFrame, source: DataFrame, targets: dict[str, DataFrame],
     source_filter: Column | None = None, target_filter: Column | None = None,
@@ -131,7 +138,7 @@ def resolve_references(
     if stop is not None:
         take = take & (F.col("entr") < stop)
     refs = refs.withColumn("_take", take)
-    cands = reference_candidates(refs.where("_take").select(*xresolv.columns), targets)
+    cands = _grouped_candidates(refs.where("_take").select(*xresolv.columns), targets)
     ok = F.col("tstat").isNull() | (F.col("tstat") == 2)
     if target_filter is not None:
         ok = ok & (F.col("tsrc").isNull() | target_filter)

@@ -199,4 +199,4 @@ def freq_texts(freq: DataFrame, kwfreq: DataFrame, keys: Sequence[str] = ("entr"
     """Sorted distinct frequency texts per key, as an array."""
     kw = kwfreq.select(F.col("id").alias("kw"), F.col("kw").alias("_kw"))
     texts = freq.join(kw, "kw").select(*keys, freq_text(F.col("_kw"), F.col("value")).alias("_t"))
-    return texts.groupBy(*keys).agg(F.array_sort(F.collect_set("_t")).alias("freqs"))
+    return texts.groupBy(*keys).agg(F.sort_array(F.collect_set("_t")).alias("freqs"))
