@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.functions.languages import language_codes
 from lexispark.session import cut
 from lexispark.sources.dictionary import _arr, _first_by
 from lexispark.sources.records import read_xml_records
@@ -20,7 +21,11 @@ CHARACTER_SCHEMA = (
     f"dic_number STRUCT<dic_ref: {_A('dr_type', 'm_vol', 'm_page')}>, query_code STRUCT<q_code: {_A('qc_type', 'skip_misclass')}>, "
     f"reading_meaning ARRAY<STRUCT<rmgroup: ARRAY<STRUCT<reading: {_A('r_type', 'on_type', 'r_status')}, meaning: {_A('m_lang')}>>, nanori: ARRAY<STRING>>>"
 )
-# File names of variants that differ from the tag names.
+# Names in the file that differ from the tag names.
+NAMES = {
+    "rinf": {"nanori": "name", "jy": "jouyou", "ja_kun": "kun", "ja_on": "on", "kan'you": "kanyou"},
+    "cinf": {"kanji_in_context": "kanji_in_ctx", "kodansha_compact": "kodansha_comp", "skip_misclass": "skip_mis", "stroke_count": "strokes"},
+}
 VARIANT_NAMES = {"njecd": "halpern_njecd", "oneill": "oneill_names"}
 
 
@@ -30,18 +35,18 @@ def read_kanji_xml(
 ) -> dict[str, DataFrame]:
     """S3: tables of a character dictionary.
 
-    `rename` maps, per domain (cinf, rinf, lang), names in the file to tag names.  The sequence number is
-    the code point.  Duplicates are dropped; a name reading equal to an earlier reading
+    `rename` maps, per domain (cinf, rinf, lang), names in the file to tag names; two-letter
+    languages are known.  The sequence number is the code point.  Duplicates are dropped; a name reading equal to an earlier reading
     only adds its tag there.
     """
-    rename = rename or {}
+    rename = {**NAMES, "lang": language_codes(spark), **(rename or {})}
 
     def names(dom: str, extra: dict[str, str] | None = None) -> Column:
         ids = tag_ids(kw[dom])
         alias = {**rename.get(dom, {}), **(extra or {})}
         return id_map({**ids, **{k: ids[v] for k, v in alias.items() if v in ids}})
 
-    cinf_ids, rinf_ids, lang_ids = names("cinf"), names("rinf"), names("lang", {"en": "eng"})
+    cinf_ids, rinf_ids, lang_ids = names("cinf"), names("rinf"), names("lang")
     var_ids = names("cinf", VARIANT_NAMES)
     rec = read_xml_records(spark, path, "character", CHARACTER_SCHEMA)
     e = rec.select("n", "e.*").where("_corrupt IS NULL AND literal IS NOT NULL").withColumn("entr", F.col("n"))
