@@ -63,7 +63,7 @@ def _with_keys(refs: DataFrame) -> DataFrame:
     )
 
 
-def _grouped_candidates(refs: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+def _grouped_candidates(refs: DataFrame, targets: dict[str, DataFrame], exact: bool) -> DataFrame:
     """References with groups of possible targets.
 
     Columns of `refs` plus tsrc, tstat, tunap, rdng, kanj, nokanji, nentr (entries in the
@@ -72,32 +72,39 @@ def _grouped_candidates(refs: DataFrame, targets: dict[str, DataFrame]) -> DataF
 
     Entries are grouped by text *before* the join: a reference meets one row per corpus,
     status and position, however many entries share its text.  Groups that contain the
-    referring entry are corrected afterwards, from their second lowest id and second
-    largest sense count.
+    referring entry are corrected afterwards.  A group left with one entry follows from
+    the sums; `exact` also finds the lowest id and most senses of larger ones, which the
+    choice of a target never looks at.
     """
     named = _targets(targets)
     top = named.groupBy(*_GROUP).agg(
-        F.count(F.lit(1)).alias("nentr"), F.min("id").alias("_id1"), F.max(F.struct("nsens", "id")).alias("_s1")
+        F.count(F.lit(1)).alias("nentr"), F.min("id").alias("_id1"), F.max(F.struct("nsens", "id")).alias("_s1"),
+        F.sum(F.col("id").cast("decimal(38,0)")).alias("_ids"), F.sum("nsens").alias("_nss"),
     )
     v = _with_keys(refs)
     hits = v.join(top, ["kind", "rkey", "kkey"], "left")
-    # References from an entry that itself carries the text.
-    own = v.select("entr", "kind", "rkey", "kkey").distinct().join(
-        named.withColumnRenamed("id", "entr"), ["entr", "kind", "rkey", "kkey"], "left_semi"
-    )
-    mine = named.withColumnRenamed("id", "entr").join(own, ["entr", "kind", "rkey", "kkey"], "left_semi").select("entr", *_GROUP)
-    touched = null_safe_join(named, mine.select(*_GROUP).distinct(), _GROUP, "left_semi")
-    second = null_safe_join(touched, top, _GROUP).groupBy(*_GROUP).agg(
-        F.min(F.when(F.col("id") != F.col("_id1"), F.col("id"))).alias("_id2"),
-        F.max(F.when(F.col("id") != F.col("_s1.id"), F.col("nsens"))).alias("_s2"),
+    # The referring entry among its own candidates.
+    own = named.select(F.col("id").alias("entr"), *_GROUP, F.col("nsens").alias("_own"))
+    out = null_safe_join(hits, own, ["entr", *_GROUP], "left")
+    self_ = F.col("_own").isNotNull()
+    n = F.col("nentr") - F.when(self_, 1).otherwise(0)
+    pair = self_ & (n == 1)
+    targ = F.when(pair, (F.col("_ids") - F.col("entr")).cast("bigint"))
+    nsens = F.when(pair, F.col("_nss") - F.col("_own"))
+    if exact:
+        first, most = F.col("_id1") == F.col("entr"), F.col("_s1.id") == F.col("entr")
+        touched = out.where(self_ & (n > 1) & (first | most)).select(*_GROUP).distinct()
+        rest = null_safe_join(named, touched, _GROUP, "left_semi")
+        second = null_safe_join(rest, top.select(*_GROUP, "_id1", "_s1"), _GROUP).groupBy(*_GROUP).agg(
+            F.min(F.when(F.col("id") != F.col("_id1"), F.col("id"))).alias("_id2"),
+            F.max(F.when(F.col("id") != F.col("_s1.id"), F.col("nsens"))).alias("_s2"),
+        )
+        out = null_safe_join(out, second, _GROUP, "left")
+        targ = targ.when(self_ & first, F.col("_id2"))
+        nsens = nsens.when(self_ & most, F.col("_s2"))
+    out = out.withColumns(
+        {"_n": n, "targ": targ.otherwise(F.col("_id1")), "_ns": nsens.otherwise(F.col("_s1.nsens"))}
     )
-    fix = null_safe_join(mine, second, _GROUP).withColumn("_self", F.lit(True))
-    out = null_safe_join(hits, fix, ["entr", *_GROUP], "left")
-    self_ = F.coalesce("_self", F.lit(False))
-    nentr = F.col("nentr") - F.when(self_, 1).otherwise(0)
-    targ = F.when(self_ & (F.col("_id1") == F.col("entr")), F.col("_id2")).otherwise(F.col("_id1"))
-    nsens = F.when(self_ & (F.col("_s1.id") == F.col("entr")), F.col("_s2")).otherwise(F.col("_s1.nsens"))
-    out = out.withColumns({"_n": nentr, "targ": targ, "_ns": nsens})
     alone = F.col("_n") == 0
     cols = ["tsrc", "tstat", "tunap", "rdng", "kanj", "nokanji", "targ"]
     return out.select(
@@ -109,7 +116,7 @@ def _grouped_candidates(refs: DataFrame, targets: dict[str, DataFrame]) -> DataF
 def reference_candidates(refs: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     """R1 (a) / U1: references with groups of possible targets, one row of nulls where
     nothing but the referring entry itself matched."""
-    out = _grouped_candidates(refs, targets)
+    out = _grouped_candidates(refs, targets, exact=True)
     found = out.groupBy(*REF).agg(F.max(F.col("targ").isNotNull()).alias("_f"))
     return out.join(found, REF).where("targ IS NOT NULL OR NOT _f").drop("_f").distinct()
 
@@ -138,7 +145,7 @@ def resolve_references(
     if stop is not None:
         take = take & (F.col("entr") < stop)
     refs = refs.withColumn("_take", take)
-    cands = _grouped_candidates(refs.where("_take").select(*xresolv.columns), targets)
+    cands = _grouped_candidates(refs.where("_take").select(*xresolv.columns), targets, exact=False)
     ok = F.col("tstat").isNull() | (F.col("tstat") == 2)
     if target_filter is not None:
         ok = ok & (F.col("tsrc").isNull() | target_filter)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lexispark.functions.text import freq_text
 
@@ -82,21 +83,17 @@ def entry_summary(
 ) -> DataFrame:
     """A2: one row per entry with headwords, glosses, sense count and popularity.
 
-    Glosses and senses are put together in one aggregation: the text of a sense is built
-    next to its entry key, so both levels share one shuffle on `entr`.
+    Each table is shuffled once, by entry: glosses get their separator from the gloss
+    before them in the entry ('; ' within a sense, ' / ' between senses), so the text of
+    an entry needs no step per sense.  Glosses are taken to belong to a sense row.
     """
-    g = gloss.groupBy("entr", "sens").agg(
-        F.expr("listagg(txt, '; ') WITHIN GROUP (ORDER BY gloss)").alias("_g")
-    )
-    s = (
-        sens.select("entr", "sens")
-        .join(g, ["entr", "sens"], "left")
-        .groupBy(F.col("entr").alias("id"))
-        .agg(
-            F.expr("coalesce(listagg(_g, ' / ') WITHIN GROUP (ORDER BY sens), '')").alias("gloss"),
-            F.count(F.lit(1)).alias("nsens"),
-        )
+    before = F.lag("sens").over(W.partitionBy("entr").orderBy("sens", "gloss"))
+    sep = F.when(before.isNull(), "").when(before == F.col("sens"), "; ").otherwise(" / ")
+    pieces = gloss.select("entr", "sens", "gloss", F.concat(sep, "txt").alias("_t"))
+    g = pieces.groupBy(F.col("entr").alias("id")).agg(
+        F.expr("listagg(_t, '') WITHIN GROUP (ORDER BY sens, gloss)").alias("_g")
     )
+    s = sense_counts(sens).join(g, "id", "left").select("id", "nsens", F.coalesce("_g", F.lit("")).alias("gloss"))
     p = freq.where(POPULAR).select(F.col("entr").alias("id")).distinct().withColumn("p", F.lit(True))
     keep = [c for c in ("id", "seq", "stat", "src", "dfrm", "unap", "notes", "srcnote") if c in entr.columns]
     out = headwords(entr.select(*keep), rdng, kanj).join(s, "id", "left").join(p, "id", "left")
@@ -154,7 +151,8 @@ def gloss_texts(gloss: DataFrame, kwginf: DataFrame | None = None) -> DataFrame:
     if kwginf is not None:
         gloss = gloss.join(kwginf.select(F.col("id").alias("ginf"), F.col("kw").alias("_kw")), "ginf")
         text = F.when(F.col("ginf") == 1, text).otherwise(F.concat(F.lit("["), F.col("_kw"), F.lit("] "), text))
-    return ordered_concat(gloss, ["entr", "sens"], ["gloss"], text, "; ", "gtxt")
+    # Placed by entry, so that steps per sense and per entry share one shuffle.
+    return ordered_concat(gloss.repartition(F.col("entr")), ["entr", "sens"], ["gloss"], text, "; ", "gtxt")
 
 
 def sense_texts(
