@@ -63,29 +63,42 @@ def inflect(
     )
 
 
+# A form's row is known by FORM_KEYS; the other columns of its table row follow from them.
+FORM_KEYS = ["id", "pos", "knum", "rnum", "conj"]
+FOLLOWING = ["seq", "src", "unap", "ptxt", "ktxt", "rtxt", "ctxt"]
 TEXT_KEYS = ["id", "seq", "src", "unap", "pos", "ptxt", "knum", "ktxt", "rnum", "rtxt", "conj", "ctxt"]
+JOINED = "listagg(_w, ',\\n') WITHIN GROUP (ORDER BY onum)"
 
 
-def inflection_text(inflections: DataFrame) -> DataFrame:
-    """Variants of a form in one text, `kanji【kana】 [notes]` each on its line."""
+def _words(inflections: DataFrame) -> DataFrame:
+    """Inflections with the text of each variant, `kanji【kana】 [notes]`."""
     has_k, has_n = F.col("kitxt").isNotNull(), F.col("notes").isNotNull()
     opt = lambda cond, s: F.when(cond, s).otherwise("")
     word = F.concat(
         F.coalesce("kitxt", F.lit("")), opt(has_k, "【"), F.coalesce("ritxt", F.lit("")), opt(has_k, "】"),
         opt(has_n, " ["), F.coalesce(F.array_join("notes", ","), F.lit("")), opt(has_n, "]"),
     )
-    rows = inflections.withColumn("_w", word)
-    return rows.groupBy(*TEXT_KEYS, "t").agg(
-        F.expr("listagg(_w, ',\\n') WITHIN GROUP (ORDER BY onum)").alias("word")
-    )
+    return inflections.select(*FORM_KEYS, *FOLLOWING, "t", "onum", word.alias("_w"))
 
 
-def inflection_table(texts: DataFrame) -> DataFrame:
-    """One row per conjugation: w0 plain, w1 polite, w2 negative, w3 negative polite."""
-    pick = lambda v, name: F.min(F.when(F.col("t") == v, F.col("word"))).alias(name)
-    return texts.groupBy(*TEXT_KEYS).agg(
-        pick("aff-plain", "w0"), pick("aff-polite", "w1"), pick("neg-plain", "w2"), pick("neg-polite", "w3")
+def inflection_text(inflections: DataFrame) -> DataFrame:
+    """Variants of a form in one text, each on its line."""
+    rest = [F.any_value(c).alias(c) for c in FOLLOWING]
+    out = _words(inflections).groupBy(*FORM_KEYS, "t").agg(*rest, F.expr(JOINED).alias("word"))
+    return out.select(*TEXT_KEYS, "t", "word")
+
+
+def inflection_table(inflections: DataFrame) -> DataFrame:
+    """One row per conjugation: w0 plain, w1 polite, w2 negative, w3 negative polite.
+
+    The four texts come from one aggregation over short keys.
+    """
+    pick = lambda v, name: F.expr(f"{JOINED} FILTER (WHERE t = '{v}')").alias(name)
+    rest = [F.any_value(c).alias(c) for c in FOLLOWING]
+    out = _words(inflections).groupBy(*FORM_KEYS).agg(
+        *rest, pick("aff-plain", "w0"), pick("aff-polite", "w1"), pick("neg-plain", "w2"), pick("neg-polite", "w3")
     )
+    return out.select(*TEXT_KEYS, "w0", "w1", "w2", "w3")
 
 
 def inflection_notes(kwpos: DataFrame, conjo: DataFrame, conjo_notes: DataFrame, conotes: DataFrame) -> DataFrame:

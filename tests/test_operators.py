@@ -275,7 +275,7 @@ def test_inflection(rows):
     out = inflect.inflect(e, s, p, kwpos, r, k, conj, conjo, notes, no("rdng", "kanj"), no("sens", "rdng"), no("sens", "kanj"))
     assert tuples(out, "id", "t", "kitxt", "ritxt", F.col("notes").cast("string")) == [
         (1, "aff-plain", "食べた", "たべた", "[1, 3]"), (1, "neg-plain", "食べなかった", "たべなかった", None), (2, "aff-plain", "来た", "きた", None)]
-    table = inflect.inflection_table(inflect.inflection_text(out))
+    table = inflect.inflection_table(out)
     assert tuples(table, "id", "w0", "w1", "w2") == [(1, "食べた【たべた】 [1,3]", None, "食べなかった【たべなかった】"), (2, "来た【きた】", None, None)]
 
 
