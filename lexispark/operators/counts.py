@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexispark.functions.text import block_name, script_class
+from lexispark.functions.text import block_name, script_class, unicode_block
 from lexispark.operators.skew import null_safe_join, spread_row_number
 
 
@@ -83,8 +83,6 @@ def char_histogram(
 
 def text_histogram(texts: DataFrame, col: str, by: str = "block", blocks: DataFrame | None = None) -> DataFrame:
     """(grp, total, uniq, chars) of a text column."""
-    from lexispark.functions.text import unicode_block
-
     ch = texts.select(F.explode(F.split(col, "")).alias("ch")).where("ch <> ''")
     n = ch.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
     if by == "class":

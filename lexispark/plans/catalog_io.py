@@ -14,6 +14,7 @@ from lexispark.functions import text as X
 from lexispark.functions.languages import language_code
 from lexispark.operators import assemble, bulk, submissions
 from lexispark.plans.bridge import Bridge
+from lexispark.plans.catalog import _E4 as EDIT_POSITIONS
 from lexispark.plans.catalog import query
 from lexispark.session import scratch_path
 from lexispark.sources import clipfiles, dictionary, dictionary_out, edict, edict_out, importer, json_entries, kanji, sentences, tables as store, tagtables
@@ -317,7 +318,14 @@ def x17(b):
 # --- E5, E9 --------------------------------------------------------------------------
 
 
-@query("e5_submissions")
+@query(
+    "e5_submissions",
+    """SELECT id AS sid, CASE WHEN id <> first THEN 'deferred' WHEN stat = 6 THEN 'parent_rejected' WHEN id % 3 = 0 AND n_paths > 1 THEN 'branches' WHEN id % 3 = 0 AND EXISTS (SELECT 1 FROM entr x WHERE x.stat = 2 AND NOT x.unap
+ AND x.src = f.src AND x.seq = f.seq AND x.id <> f.root) THEN 'seq_vio' WHEN id % 3 = 1 AND id = root AND NOT unap THEN 'approved' ELSE 'added' END AS outcome FROM (SELECT *, min(id) OVER (PARTITION BY root) AS first FROM (SELECT l.*, coalesce(p.root, l.id) AS root,
+ coalesce(n.n, 1) AS n_paths FROM entr l LEFT JOIN per p ON p.id = l.id LEFT JOIN npr n ON n.root = p.root WHERE NOT EXISTS (SELECT 1 FROM entr c WHERE c.dfrm = l.id)) r) f""",
+    ctes=EDIT_POSITIONS,
+    recursive=True,
+)
 def e5(b):
     """One submission per leaf of the edit trees: edits, approvals and rejections."""
     e = _tables(b, "entr")["entr"]
@@ -329,7 +337,7 @@ def e5(b):
     )
     content = b.tables("rdng", "kanj")
     t = {**_tables(b, "entr", "rdng", "kanj"), "kwsrc": b.kwsrc, "freq": b.freq}
-    return submissions.apply_submissions(t, subs, content)[1]
+    return submissions.apply_submissions(t, subs, content)[1].select("sid", "outcome")
 
 
 @query(

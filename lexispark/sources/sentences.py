@@ -37,8 +37,6 @@ def pair_lines(lines: DataFrame, block: int = 1 << 16) -> DataFrame:
     starts = rows.where((F.col("kind") == "A") & (F.col("_prev").isNull() | (F.col("_prev.kind") == "B")))
     closes = rows.where((F.col("kind") == "B") & (F.col("_prev.kind") == "A"))
     # Between a start and its close there are only further A lines: number both alike.
-
-
     s = spread_row_number(starts.select("n", F.col("txt").alias("a")), [], [F.col("n")], "_i")
     c = spread_row_number(closes.select(F.col("n").alias("b_n"), F.col("txt").alias("b")), [], [F.col("b_n")], "_i")
     return s.join(c, "_i").where("b_n > n").select(F.col("n").alias("a_n"), "a", "b")
@@ -80,8 +78,6 @@ def read_sentence_pairs(spark: SparkSession, path: str, src: int = 1) -> dict[st
     # Which line of equal numbers is first, then only those lines go on.
     keep = ok.groupBy("seq").agg(F.min("a_n").alias("a_n"))
     e = ok.join(keep, ["seq", "a_n"], "left_semi")
-
-
     e = spread_row_number(e, [], [F.col("a_n")], "entr").withColumn("entr", F.col("entr").cast("bigint"))
     reading = is_reading("jtxt")
     # Of several sense numbers the last one counts.
