@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexispark.llm import packing
+from lexispark.llm import kd_shards, packing, url_filter
 from lexispark.llm.shared import read_table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -29,3 +30,35 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 @register("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
+
+
+#: Host and path rules of the URL filter (fixed by its contract).
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: A host with a label of this form puts its pages on the list of canonical URLs.
+LISTED_HOST = r"(^|\.)(spam|cheap)-"
+
+_HOST = "translate(coalesce(regexp_extract(url, '(?s)\\A.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "coalesce(regexp_extract(url, '(?s)\\A.*?://[^/?#]*([^?#]*)', 1), '')"
+_FITS = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+_WHEN = [(v, h + p, _FITS.format(h=h, p=p)) for v, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))]
+_OP6_SQL = f"""
+WITH split AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
+canon AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(\\.html|/+)$', '') END AS canonical_url FROM split),
+listed AS (SELECT DISTINCT canonical_url AS u FROM canon WHERE regexp_matches(host, '(^|\\.)(spam|cheap)-'))
+SELECT page_id, host, path, CASE {" ".join(f"WHEN {f} THEN '{r}'" for _, r, f in _WHEN)} END AS rule,
+  CASE {" ".join(f"WHEN {f} THEN '{v}'" for v, _, f in _WHEN)} WHEN u IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  canonical_url, u IS NOT NULL AS by_list
+FROM canon LEFT JOIN listed ON canonical_url = u"""
+
+
+@register("op6_url_filter", _OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    listed = pages.where(host.rlike(LISTED_HOST)).select(url_filter.canonical(host, path).alias("canonical_url"))
+    return url_filter.judge(pages, listed, URL_RULES)
+
+
+@register("op10_kd_tree_shards")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shard(read_table(spark, sf_dir, "documents"), shards=8)

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.shared import MEMO_WORDS, stored
+from lexispark.llm.shared import MEMO_WORDS, stored, with_rank
 
 _TAIL = re.compile(r"(?<=[^\W\d_])(?=[.,]+\Z)")
 _tokenizers: dict[str, _WordIds] = {}
@@ -177,21 +177,14 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """
     spark = pieces.sparkSession
     names = pieces.columns
-    rid, pid, rank = "_rid", "_pid", "_rank"
-    kept = stored(pieces.withColumn(rid, F.monotonically_increasing_id()), "pieces")
-    kept = kept.withColumn(pid, F.shiftright(rid, 33))
-    by_part = kept.groupBy("length", pid).agg(F.count(F.lit(1)).alias("_n"))
-    counts = {r[0]: r[1] for r in by_part.groupBy("length").agg(F.sum("_n")).collect()}  # one row per length at most
-    before = Window.partitionBy("length").orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    base = by_part.select("length", pid, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    own = Window.partitionBy("length", pid).orderBy(rid)
-    ranked = kept.withColumn("_row", F.row_number().over(own) - 1).join(base, ["length", pid])
-    ranked = ranked.withColumn(rank, F.col("_row") + F.col("_base"))
+    kept = stored(pieces.withColumn("_rid", F.monotonically_increasing_id()), "pieces")
+    counts = {r[0]: r[1] for r in kept.groupBy("length").count().collect()}  # one row per length at most
+    ranked, rank = with_rank(kept, "length", "_rank"), F.col("_rank")
     # A step of the plan uses up a length or a group of sequences alike: a few rows per length.
     places = spark.createDataFrame(plan(counts, capacity), "_length bigint, _lo bigint, _hi bigint, _first bigint, offset bigint")
-    fits = (F.col("length") == F.col("_length")) & (F.col(rank) >= F.col("_lo")) & (F.col(rank) < F.col("_hi"))
+    fits = (F.col("length") == F.col("_length")) & (rank >= F.col("_lo")) & (rank < F.col("_hi"))
     placed = ranked.join(F.broadcast(places), fits)
-    return placed.select(*names, (F.col("_first") + F.col(rank) - F.col("_lo")).alias("sequence_id"), "offset")
+    return placed.select(*names, (F.col("_first") + rank - F.col("_lo")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.session import scratch_path
@@ -28,6 +28,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_rank(kept: DataFrame, by: str, rank: str) -> DataFrame:
+    """Number the rows of each ``by`` from 0, without gaps, in a column ``rank``.
+
+    ``kept`` is a stored table with ``_rid``, made by monotonically_increasing_id before it
+    was stored: its upper bits name the part that wrote the row, so each window holds rows
+    of one part, and a value that most rows share is never numbered in one task.
+    """
+    kept = kept.withColumn("_pid", F.shiftright("_rid", 33))
+    by_part = kept.groupBy(by, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    base = by_part.select(by, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = Window.partitionBy(by, "_pid").orderBy("_rid")
+    rows = kept.withColumn("_row", F.row_number().over(own) - 1).join(base, [by, "_pid"])
+    return rows.withColumn(rank, F.col("_row") + F.col("_base"))
+
+
 class WordMemo(dict):
     """64-bit hash of each word of UTF-8 bytes, kept while the worker lives."""
 
