@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import kd_shards, packing, url_filter
+from lexispark.llm import jaccard_join, kd_shards, packing, url_filter
 from lexispark.llm.shared import read_table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -62,3 +62,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_kd_tree_shards")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard(read_table(spark, sf_dir, "documents"), shards=8)
+
+
+@register("op2_ngram_jaccard_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents"), k=3, percent=90)
