@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import jaccard_join, kd_shards, packing, url_filter
+from lexispark.llm import decontaminate, jaccard_join, kd_shards, packing, span_dedup, url_filter
 from lexispark.llm.shared import read_table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -67,3 +67,27 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_ngram_jaccard_join")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@register("op8_substring_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return span_dedup.remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", "text")
+
+
+_OP9_WORDS = "list_filter(string_split_regex(regexp_replace(lower(text), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]', ' ', 'g'), ' +'), lambda x: x <> '')"
+_OP9_SQL = f"""
+WITH d AS (SELECT doc_id, {_OP9_WORDS} AS w FROM documents),
+i AS (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, {_OP9_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+ish AS (SELECT DISTINCT item_id, k, unnest([array_to_string(w[j:j + k - 1], ' ') for j in range(1, len(w) - k + 2)]) AS s FROM i),
+n AS (SELECT item_id, count(*) AS item_shingles FROM ish GROUP BY 1),
+dsh AS (SELECT DISTINCT doc_id, k, unnest([array_to_string(w[j:j + k - 1], ' ') for j in range(1, len(w) - k + 2)]) AS s
+        FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)
+SELECT doc_id, item_id, item_shingles, count(*) AS shared FROM dsh JOIN ish USING (k, s) JOIN n USING (item_id)
+GROUP BY 1, 2, 3 HAVING count(*) * 100 >= item_shingles * 80"""
+
+
+@register("op9_benchmark_decontamination", _OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return decontaminate.leaks(docs, items).select("doc_id", "item_id", "item_shingles", "shared")
