@@ -97,7 +97,6 @@ def _texts_with_members(docs: DataFrame, members: DataFrame) -> DataFrame:
     return stored(found.withColumn("_row", F.monotonically_increasing_id()), "with_members")
 
 
-@F.pandas_udf("array<struct<item_id: bigint, item_shingles: bigint, shared: bigint>>")
 def _shared(text: pd.Series, items: pd.Series, k: pd.Series) -> pd.Series:
     out = []
     for t, some, size in zip(text, items, k):
@@ -130,7 +129,8 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> D
     dealt = pairs.join(pairs.groupBy("_row").agg(F.count(F.lit(1)).alias("n")), "_row").select("_row", "item_id", chunk.alias("_chunk"))
     own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).distinct()
     lists = dealt.join(own, "item_id").groupBy("_row", "_chunk").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
-    shared = lists.join(texts.drop("hits"), "_row").select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_shared("text", "items", F.lit(k))).alias("s"))
+    count = F.pandas_udf(_shared, "array<struct<item_id: bigint, item_shingles: bigint, shared: bigint>>")
+    shared = lists.join(texts.drop("hits"), "_row").select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(count("text", "items", F.lit(k))).alias("s"))
     return (
         shared.select("doc_id", "text_hash", "s.*").where(F.col("shared") * 100 >= F.col("item_shingles") * percent).where("item_shingles > 0")
         .groupBy("doc_id", "text_hash", "item_id")

@@ -95,7 +95,6 @@ def repeated(docs: DataFrame, least: int, words: int) -> DataFrame:
     return again.groupBy("_doc", "_text").agg(F.collect_set(F.struct("at", "to")).alias("_spans"))
 
 
-@F.pandas_udf("text string, n_sentences bigint, n_removed bigint")
 def _without(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
     rows = []
     for t, ranges in zip(text, spans):
@@ -123,8 +122,9 @@ def remove_repeats(docs: DataFrame, least: int = 2, words: int = 20) -> DataFram
     n_sentences and n_removed are replaced.
     """
     hits = repeated(docs, least, words)
+    cut = F.pandas_udf(_without, "text string, n_sentences bigint, n_removed bigint")
     keep = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("h._doc")) & (F.xxhash64("d.text") == F.col("h._text"))
     joined = docs.alias("d").join(hits.alias("h"), same, "left")
-    joined = joined.select(*[F.col(f"d.`{c}`") for c in keep], _without(F.col("d.text"), F.col("h._spans")).alias("_new"))
+    joined = joined.select(*[F.col(f"d.`{c}`") for c in keep], cut(F.col("d.text"), F.col("h._spans")).alias("_new"))
     return joined.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in keep], "_new.n_sentences", "_new.n_removed")
