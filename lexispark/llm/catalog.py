@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import decontaminate, embed_dedup, jaccard_join, kd_shards, packing, span_dedup, url_filter
+from lexispark.llm import decontaminate, embed_dedup, jaccard_join, kd_shards, langid, packing, span_dedup, tool_calls, url_filter
 from lexispark.llm.shared import read_table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -109,3 +109,63 @@ FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id"""
 @register("op1_embedding_near_dedup", _OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+@register("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+#: Tools whose calls are made of the turns of ``conversations``, and their parameters.
+TOOLS = [
+    ("search", "query", "string", True), ("search", "limit", "integer", False),
+    ("measure", "text", "string", True), ("measure", "exact", "boolean", True), ("measure", "ratio", "number", False),
+    ("quote", "source", "string", True), ("quote", "text", "string", True),
+]
+
+
+def turn_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results made of conversation turns: an assistant turn calls a tool with its
+    text, after the call two turns before; the user turn that follows is its result."""
+    ident = lambda turn: F.concat(F.lit("c"), turn.cast("string"))
+    n, pick = F.length("text"), F.length("text") % 4
+    arguments = (
+        F.when(pick == 0, F.to_json(F.struct(F.col("text").alias("query"), n.alias("limit"))))
+        .when(pick == 1, F.to_json(F.struct(F.col("text"), (n / 8).alias("ratio"), (n > 200).alias("exact"))))
+        .when(pick == 2, F.to_json(F.struct(F.col("text"), F.col("role").alias("source"), n.alias("size"))))
+        .otherwise(F.to_json(F.struct(n.cast("string").alias("limit"), F.array(F.col("role"), F.col("text")).alias("query"))))
+    )
+    name = F.when(pick == 1, "measure").when(pick == 2, "quote").otherwise("search")
+    calls = turns.where("role = 'assistant'").select("conv_id", ident(F.col("turn")).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, ident(F.col("turn") - 2)).alias("after"))
+    results = turns.where("role = 'user' and turn > 0").select("conv_id", ident(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, results
+
+
+_OP7_SQL = """
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, length(text) AS n, length(text) % 4 AS p FROM conversations),
+call AS (SELECT conv_id, 'c' || turn AS call_id, turn, CASE p WHEN 1 THEN 'measure' WHEN 2 THEN 'quote' ELSE 'search' END AS name,
+  CASE p WHEN 0 THEN '{"limit":' || n || ',"query":' || to_json(text) || '}'
+    WHEN 1 THEN '{"exact":' || (n > 200)::VARCHAR || ',"ratio":' || CASE WHEN n % 8 = 0 THEN (n // 8)::VARCHAR ELSE (n / 8)::VARCHAR END || ',"text":' || to_json(text) || '}'
+    WHEN 2 THEN '{"size":' || n || ',"source":' || to_json(role) || ',"text":' || to_json(text) || '}'
+    ELSE '{"limit":"' || n || '","query":[' || to_json(role) || ',' || to_json(text) || ']}' END AS args,
+  CASE p WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [] WHEN 2 THEN ['unknown:size'] ELSE ['type:limit', 'type:query'] END AS own,
+  CASE WHEN turn >= 2 THEN 'c' || (turn - 2) END AS after FROM t WHERE role = 'assistant'),
+res AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, turn, text AS content FROM t WHERE role = 'user' AND turn > 0),
+d AS (SELECT c.conv_id, c.call_id, 0::BIGINT AS depth FROM call c LEFT JOIN call p ON p.conv_id = c.conv_id AND p.call_id = c.after WHERE p.call_id IS NULL
+  UNION ALL SELECT c.conv_id, c.call_id, d.depth + 1 FROM d JOIN call c ON c.conv_id = d.conv_id AND c.after = d.call_id),
+x AS (SELECT c.*, d.depth, r.content, r.call_id IS NOT NULL AS has, CASE WHEN c.after IS NOT NULL AND d.depth = 0 THEN ['after:missing'] ELSE []::VARCHAR[] END || own AS errors
+  FROM call c JOIN d USING (conv_id, call_id) LEFT JOIN res r USING (conv_id, call_id))
+SELECT conv_id, call_id, turn, name, CASE WHEN has THEN 'linked' ELSE 'no_result' END AS status, depth, len(errors) = 0 AS valid, errors,
+  '{"after":' || coalesce('"' || after || '"', 'null') || ',"arguments":' || args || ',"call_id":"' || call_id || '","conv_id":' || conv_id || ',"name":"' || name
+  || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS line FROM x
+UNION ALL
+SELECT conv_id, call_id, turn, NULL, 'orphan_result', NULL, NULL, NULL, '{"call_id":"' || call_id || '","conv_id":' || conv_id || ',"result":' || to_json(content) || '}'
+FROM res ANTI JOIN call USING (conv_id, call_id)"""
+
+
+@register("op7_tool_call_linking", _OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = turn_calls(read_table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(TOOLS, "name string, param string, type string, required boolean")
+    return tool_calls.link(calls, results, schemas)
