@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import decontaminate, embed_dedup, jaccard_join, kd_shards, langid, packing, span_dedup, tool_calls, url_filter
+from lexispark.llm import decontaminate, embed_dedup, jaccard_join, kd_shards, langid, lm_score, packing, span_dedup, tool_calls, url_filter
 from lexispark.llm.shared import read_table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -169,3 +169,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = turn_calls(read_table(spark, sf_dir, "conversations"))
     schemas = spark.createDataFrame(TOOLS, "name string, param string, type string, required boolean")
     return tool_calls.link(calls, results, schemas)
+
+
+@register("op4_lm_scoring")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.stupid_backoff(read_table(spark, sf_dir, "documents"), order=3)

@@ -18,19 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.shared import runs, stored, to_long, word_hashes
+from lexispark.llm.shared import plain_words, runs, stored, to_long, word_hashes
 
 #: Sketch members that each task may hold (8 bytes each). With more, documents send their
 #: shingles to a join instead.
 MAX_HELD = 1 << 20
 ITEMS_PER_ROW = 64  # items compared with one copy of a document's text
-_PLAIN = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
-
-
-def plain_words(text: str | None) -> list[bytes]:
-    """Lower case, ASCII punctuation and blanks between words dropped."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split() if text else []
-
 
 def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
