@@ -11,6 +11,7 @@ rows per length. Pieces then take their places by their rank within their length
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -19,38 +20,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.shared import MEMO_WORDS, stored, with_rank
+from lexispark.llm.shared import stored, with_rank
 
-_TAIL = re.compile(r"(?<=[^\W\d_])(?=[.,]+\Z)")
+_STOP = re.compile(r"(?<=[^\W\d_])(?=[!-/:-@\[-^{-~`]+(?:\s|\Z))")
 _tokenizers: dict[str, _WordIds] = {}
+#: Entries of the memo of word ids (about 200 bytes each).
+MEMO_IDS = 600_000
 
 
 class _WordIds(dict):
     """Ids (as bytes) of strings between blanks. Splitting there, and between a letter and
-    closing stops, changes no id: the tokenizer drops white space and starts a new unit."""
+    closing stops, changes no id: the tokenizer drops white space and starts a new unit.
+    Nor does lower case for A-Z, which it takes itself."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.to_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def __missing__(self, word: str) -> bytes:
-        if not word:
-            return b""
-        parts = _TAIL.split(word) if word[-1] in ".," else [word]
-        low = parts[0].lower() if parts[0].isascii() else parts[0]
-        if len(parts) > 1 or low != word:
-            out = b"".join(map(self.__getitem__, [low, *parts[1:]]))
+        if word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word):  # one unit, as it is
+            unit = word if word.isascii() else self.to_bytes(word)[0][0]
+            ids = [t.id for t in self.model.tokenize(unit)]
         else:
-            out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = out
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        self[word] = out = np.array(ids, "<u4").tobytes()
         return out
 
     def ids(self, text: str) -> bytes:
-        if len(self) > MEMO_WORDS:
+        if len(self) > MEMO_IDS:
             self.clear()
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        return b"".join(map(self.__getitem__, _STOP.sub(" ", low).replace("\n", " ").split(" ")))
 
 
 def token_bytes(text: str, path: str) -> bytes:
