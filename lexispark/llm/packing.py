@@ -156,7 +156,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
             at += a
 
     while longest := stock.longest(capacity):
-        n = int(stock.left[longest])
+        n = max(1, int(stock.left[longest]) // (capacity // longest))  # several of a short length go together
         place((longest,), n, sequences, 0)
         open_ = [(sequences, n, longest)]  # sequences alike: the first, how many, ids in each
         sequences += n
