@@ -188,10 +188,10 @@ def s5(b):
 # --- S3, S4 ------------------------------------------------------------------------
 
 
-@query("s3_kanji_chr", "SELECT 19968 + p_partkey AS seq, p_size AS strokes, CASE WHEN p_size % 3 = 0 THEN p_size END AS grade, CAST(1 AS BIGINT) AS n_rdng, CAST(2 AS BIGINT) AS n_cinf FROM part WHERE p_partkey < 20000")
+@query("s3_kanji_chr", "SELECT CASE WHEN p_partkey < 20000 THEN 19968 ELSE 111072 END + p_partkey AS seq, p_size AS strokes, CASE WHEN p_size % 3 = 0 THEN p_size END AS grade, CAST(1 AS BIGINT) AS n_rdng, CAST(2 AS BIGINT) AS n_cinf FROM part")
 def s3(b):
-    cp = F.col("p_partkey") + 19968
-    ch = F.decode(F.unhex(F.lpad(F.hex(cp), 4, "0")), "UTF-16BE")
+    cp = F.col("p_partkey") + F.when(F.col("p_partkey") < 20000, 19968).otherwise(111072)  # then on from U+20000
+    ch = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
     size = F.col("p_size").cast("string")
     el = lambda tag, c, attr="": F.concat(F.lit(f"<{tag}{attr}>"), c, F.lit(f"</{tag}>"))
     grade = F.when(F.col("p_size") % 3 == 0, el("grade", size)).otherwise("")
@@ -201,7 +201,7 @@ def s3(b):
         F.lit("</query_code><reading_meaning><rmgroup>"), el("reading", F.lit("カ"), ' r_type="ja_on"'), el("meaning", F.col("p_name")), F.lit("</rmgroup><nanori>カ</nanori></reading_meaning></character>"),
     )
     path = scratch_path(b.spark, "kanji")
-    b.part.where("p_partkey < 20000").select(xml.alias("value")).write.text(path)
+    b.part.select(xml.alias("value")).write.text(path)
     t = kanji.read_kanji_xml(b.spark, path, _vocab(b))
     n = lambda name: t[name].groupBy(F.col("entr").alias("id")).agg(F.count(F.lit(1)).alias(f"n_{name}"))
     out = t["entr"].join(t["chr"].withColumnRenamed("entr", "id"), "id").join(n("rdng"), "id").join(n("cinf"), "id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.operators.edits import CHILD_TABLES
+from lexispark.operators.skew import spread_row_number
 
 TEST_CORPUS = 99  # Fixed value: id reserved for test data.
 
@@ -30,26 +31,23 @@ def import_corpus(
         for old, to in rename.items():
             new = F.when(names["kw"] == old, to).otherwise(new)
         names = names.withColumn("kw", new)
-    clash = [r["kw"] for r in names.join(base["kwsrc"].select("kw"), "kw", "left_semi").select("kw").limit(20).collect()]
-    if clash:
-        raise ImportRefused(f"corpus names exist already: {', '.join(sorted(clash))}")
+    clash = names.join(base["kwsrc"].select("kw"), "kw", "left_semi").select("kw")
+    if found := clash.count():
+        raise ImportRefused(f"{found} corpus names exist already, the first of them {clash.agg(F.min('kw')).first()[0]}")
     top_src = base["kwsrc"].where(F.col("id") != TEST_CORPUS).agg(F.max("id").alias("m")).first()["m"] or 0
-    # A file brings a handful of corpora, so they are numbered on the driver.
-    ids, nxt = [], top_src + 1
-    for r in names.select("id").orderBy("id").limit(10000).collect():
-        nxt += nxt == TEST_CORPUS
-        ids.append((r["id"], nxt))
-        nxt += 1
-    spark = names.sparkSession
-    m = spark.createDataFrame(ids, "src INT, newid INT")
+    raw = F.col("_n") + top_src
+    past = F.when(raw >= TEST_CORPUS, 1).otherwise(0) if top_src < TEST_CORPUS else F.lit(0)
+    m = spread_row_number(names.select(F.col("id").cast("int").alias("src")), [], [F.col("src")], "_n").select("src", (raw + past).cast("int").alias("newid"))
     top = base["entr"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     e = stage["entr"]
     lost = e.where("dfrm IS NOT NULL").join(e.select(F.col("idx").alias("dfrm")), "dfrm", "left_anti").select("dfrm")
-    bad = [r["dfrm"] for r in lost.limit(20).collect()]
-    if bad:
-        raise ImportRefused(f"parents are missing from the file: {', '.join(map(str, bad))}")
+    if found := lost.count():
+        raise ImportRefused(f"{found} parents are missing from the file, the first of them {lost.agg(F.min('dfrm')).first()[0]}")
     parent = e.where("idx IS NOT NULL").select(F.col("idx").alias("dfrm"), F.col("id").alias("_p"))
-    moved = e.withColumn("src", F.col("src").cast("int")).join(m, "src").join(parent, "dfrm", "left")
+    # Most entries have no parent; they stay out of the join, where they would be one key.
+    edited = e.where("dfrm IS NOT NULL").join(parent, "dfrm")
+    moved = edited.unionByName(e.where("dfrm IS NULL").withColumn("_p", F.lit(None).cast("bigint")))
+    moved = moved.withColumn("src", F.col("src").cast("int")).join(m, "src")
     moved = moved.withColumns({"id": F.col("id") + top, "src": F.col("newid"), "dfrm": F.col("_p") + top})
     out = dict(base)
 

@@ -12,8 +12,12 @@ from lexispark.session import cut
 from lexispark.sources.records import number_in_file_order, read_lines
 
 USES = 6
-# Fixed pattern of an item: word(reading)[sense]...{form}~
-ITEM = r"^([^(\[{~]+)(\((\S+)\))?((?:\[\d+\])*)(\{(\S+)\})?(~)?$"
+
+def _cut_end(x: Column, opening: str, closing: str) -> tuple[Column, Column]:
+    """A text without the bracket it ends with, and what that bracket held (or null)."""
+    has = x.endswith(closing) & x.contains(opening)
+    at = F.instr(x, opening)
+    return F.when(has, F.substring(x, F.lit(1), at - 1)).otherwise(x), F.when(has, F.substring(x, at + 1, F.length(x) - at - 1))
 
 
 def pair_lines(lines: DataFrame, block: int = 1 << 16) -> DataFrame:
@@ -43,10 +47,16 @@ def pair_lines(lines: DataFrame, block: int = 1 << 16) -> DataFrame:
 
 
 def _item(x: Column) -> Column:
-    g = lambda i: F.nullif(F.regexp_extract(x, ITEM, i), F.lit(""))
-    return F.struct(
-        x.alias("raw"), (~x.rlike(ITEM)).alias("bad"), g(1).alias("k"), g(3).alias("r"), g(4).alias("s"), g(6).alias("form"), g(7).isNotNull().alias("prio")
-    )
+    """Parts of an item, word(reading)[sense]...{form}~, taken off from its end."""
+    prio = x.endswith("~")
+    y, form = _cut_end(F.when(prio, F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x), "{", "}")
+    parts = F.split(y, r"\[")
+    senses = F.slice(parts, 2, 1 << 30)
+    k, r = _cut_end(F.get(parts, F.lit(0)), "(", ")")
+    wrong = F.exists(senses, lambda s: ~s.endswith("]") | F.substring(s, F.lit(1), F.length(s) - 1).try_cast("int").isNull())
+    bad = (k == "") | (r == "") | (form == "") | wrong | (F.translate(k, "([{~", "") != k)
+    last = F.rtrim(F.element_at(senses, -1), F.lit("]"))
+    return F.struct(x.alias("raw"), F.coalesce(bad, wrong | (k == "") | (F.translate(k, "([{~", "") != k)).alias("bad"), k.alias("k"), r.alias("r"), F.when(F.size(senses) > 0, last).alias("s"), form.alias("form"), prio.alias("prio"))
 
 
 def read_sentence_pairs(spark: SparkSession, path: str, src: int = 1) -> dict[str, DataFrame]:
@@ -58,11 +68,15 @@ def read_sentence_pairs(spark: SparkSession, path: str, src: int = 1) -> dict[st
     """
     lines = number_in_file_order(read_lines(spark, path))
     p = pair_lines(lines)
-    tail = r"(\s*#\s*ID\s*=\s*(\d+)_(\d+)\s*)$"
-    num = lambda i: F.regexp_extract("a", tail, i).try_cast("bigint")
-    p = p.withColumns({"en": num(2), "jp": num(3), "body": F.regexp_replace("a", tail, "")})
-    sides = r"^\s*(.+)\t(.+?)\s*$"
-    p = p.withColumns({"jtxt": F.regexp_extract("body", sides, 1), "etxt": F.regexp_extract("body", sides, 2)})
+    # An A line is `japanese TAB english #ID=n_m`.
+    mark = F.split(F.translate(F.substring_index("a", "#", -1), " \t", ""), "[=_]")
+    num = lambda i: F.when(F.col("a").contains("#") & (F.get(mark, F.lit(0)) == "ID") & (F.size(mark) == 3), F.get(mark, F.lit(i)).try_cast("bigint"))
+    p = p.withColumns({"en": num(1), "jp": num(2)})
+    p = p.withColumn("en", F.when(F.col("jp").isNotNull(), F.col("en"))).withColumn("jp", F.when(F.col("en").isNotNull(), F.col("jp")))
+    body = F.when(F.col("en").isNotNull(), F.substring(F.col("a"), F.lit(1), F.length("a") - F.length(F.substring_index("a", "#", -1)) - 1)).otherwise(F.col("a"))
+    p = p.withColumn("_en", F.substring_index(body, "\t", -1)).withColumn("body", body)
+    both = F.col("body").contains("\t") & (F.trim("_en") != "")
+    p = p.withColumns({"jtxt": F.when(both, F.ltrim(F.substring(F.col("body"), F.lit(1), F.length("body") - F.length("_en") - 1))).otherwise(""), "etxt": F.when(both, F.rtrim("_en")).otherwise("")}).drop("_en")
     p = p.withColumn("seq", square_index("en", "jp", base=1))
     items = F.transform(F.filter(F.split("b", r"\s+"), lambda x: x != ""), _item)
     kana = lambda c: is_reading(c) & (script_class(c).bitwiseAND(F.lit(KANA)) != 0) & (script_class(c).bitwiseAND(F.lit(KANJI)) == 0)
@@ -81,7 +95,7 @@ def read_sentence_pairs(spark: SparkSession, path: str, src: int = 1) -> dict[st
     e = spread_row_number(e, [], [F.col("a_n")], "entr").withColumn("entr", F.col("entr").cast("bigint"))
     reading = is_reading("jtxt")
     # Of several sense numbers the last one counts.
-    senses = lambda i: F.when(i["s"].isNotNull(), F.array(F.regexp_extract(i["s"], r"\[(\d+)\]$", 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    senses = lambda i: F.when(i["s"].isNotNull(), F.array(i["s"].try_cast("int"))).otherwise(F.array().cast("array<int>"))
     flip = lambda i: kana(i["k"]) & i["r"].isNull()
     one = lambda i, t: F.struct(
         F.when(~flip(i), i["k"]).alias("ktxt"), F.when(flip(i), i["k"]).otherwise(i["r"]).alias("rtxt"), t.alias("tsens"), i["form"].alias("notes"), i["prio"].alias("prio")

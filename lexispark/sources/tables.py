@@ -59,9 +59,9 @@ def read_copy_rows(lines: DataFrame, schema: str) -> DataFrame:
     cols = []
     for i, (name, typ) in enumerate(fields):
         c = F.nullif(F.get(cells, F.lit(i)), F.lit("\\N"))
-        # A doubled backslash is set aside while the other escapes are undone.
-        for a, b in (("\\\\", "\x01"), ("\\t", "\t"), ("\\n", "\n"), ("\x01", "\\")):
-            c = F.replace(c, F.lit(a), F.lit(b))
+        # Between doubled backslashes only the other escapes are left to undo.
+        plain = lambda x: F.replace(F.replace(x, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n"))
+        c = F.array_join(F.transform(F.split(c, r"\\\\"), plain), "\\")
         if typ.lower() == "boolean":
             c = F.when(c.isin("t", "true", "True"), True).otherwise(F.when(c.isNotNull(), False))
         cols.append(c.cast(typ).alias(name))

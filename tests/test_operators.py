@@ -88,7 +88,9 @@ def test_criteria():
         c.colour = 1
     with pytest.raises(search.UnknownTag):
         search.corpus_selector("nosuch", {"jm": 1})
-    assert search.page_size(None) == 100 and search.page_size(0) == 100 and search.page_size(5000) == 1000
+    assert search.page_size(None) == 100 and search.page_size(0) == 100 and search.page_size(5000, most=5000) == 5000
+    with pytest.raises(ValueError):
+        search.page_size(5000)
 
 
 def test_invert_forms(rows):
