@@ -358,25 +358,26 @@ def e9(b):
 # --- G1, G2 --------------------------------------------------------------------------
 
 _EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-_WM = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
 
 
 def _stream(b):
     return b.spark.readStream.schema(T._parse_datatype_string(_EVENTS)).option("pathGlobFilter", "events.parquet").parquet(b.sf_dir)
 
 
-@query("g1_history_calendar_stream", f"SELECT year(ts) AS y, month(ts) AS m, day(ts) AS d, count(*) AS cnt FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_WM} GROUP BY ALL")
+@query("g1_history_calendar_stream", "SELECT year(ts) AS y, month(ts) AS m, day(ts) AS d, count(*) AS cnt FROM events GROUP BY ALL")
 def g1(b):
     s = streams.history_calendar_stream(_stream(b), ts="ts")
-    return streams.run_to_end(s, scratch_path(b.spark, "g1"), scratch_path(b.spark, "g1-state"))
+    return streams.run_to_end(s, scratch_path(b.spark, "g1"), scratch_path(b.spark, "g1-state"), "complete")
 
 
 @query(
     "g2_idle_sessions_stream",
-    f"""SELECT user_id AS "user", min(ts) AS first, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 240 MINUTE
- OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS new FROM events) a) b GROUP BY user_id, sid HAVING max(ts) + INTERVAL 240 MINUTE <= {_WM}""",
+    """SELECT user_id AS "user", min(ts) AS first, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 240 MINUTE
+ OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS new FROM events) a) b GROUP BY user_id, sid""",
 )
 def g2(b):
-    s = streams.idle_sessions_stream(_stream(b))
-    out = streams.run_to_end(s, scratch_path(b.spark, "g2"), scratch_path(b.spark, "g2-state"))
+    ends, out, state = (scratch_path(b.spark, n) for n in ("g2-closing", "g2", "g2-state"))
+    s = streams.idle_sessions_stream(_stream(b), closing=streams.closing_rows(b.spark, ends))
+    streams.run_to_end(s, out, state)
+    out = streams.close_stream(s, ends, out, state)
     return out.withColumns({"first": F.col("first").cast("timestamp_ntz"), "last": F.col("last").cast("timestamp_ntz")})
