@@ -166,3 +166,27 @@ def apply_submissions(
     return out, outcome.select(
         "sid", F.when(F.col("deferred"), "deferred").otherwise(F.coalesce("error", F.lit("added"))).alias("outcome"), "id", F.col("_q").alias("seq")
     )
+
+
+def apply_in_rounds(
+    tables: dict[str, DataFrame], subs: DataFrame, content: dict[str, DataFrame], allow_forks: bool = True
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """E5 for any number of submissions per edit tree: (new tables, outcomes).
+
+    Submissions to one tree are applied in the order of sid, each to what the ones before
+    it have left.  A round takes one per tree, so there are as many rounds as the busiest
+    tree has submissions; each round's tables are written before the next.
+    """
+    settled = None
+    while True:
+        tables, outcome = apply_submissions(tables, subs, content, allow_forks)
+        outcome = cut(outcome)
+        done = outcome.where("outcome <> 'deferred'")
+        settled = done if settled is None else settled.unionByName(done)
+        left = outcome.where("outcome = 'deferred'").select("sid")
+        if left.isEmpty():
+            return tables, settled
+        tables = {name: cut(df) for name, df in tables.items()}
+        subs = cut(subs.join(left, "sid", "left_semi"))
+        mine = left.withColumnRenamed("sid", "entr")
+        content = {name: df.join(mine, "entr", "left_semi").select(*df.columns) for name, df in content.items()}

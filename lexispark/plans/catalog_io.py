@@ -355,6 +355,36 @@ def e9(b):
     return content["gloss"].select("entr", "sens", "gloss", "txt")
 
 
+@query("e5_rounds", "SELECT 2 * e.id + n AS sid, 'added' AS outcome FROM entr e, (VALUES (0), (1), (2)) t(n) WHERE e.stat = 2 AND e.dfrm IS NULL AND NOT EXISTS (SELECT 1 FROM entr c WHERE c.dfrm = e.id) AND (n < 2 AND e.id % 2 = 0)")
+def e5_rounds(b):
+    """Two edits of each single even entry: the second is settled in a second round."""
+    e = _tables(b, "entr")["entr"]
+    lone = e.where("stat = 2 AND dfrm IS NULL AND id % 2 = 0").join(e.where("dfrm IS NOT NULL").select(F.col("dfrm").alias("id")), "id", "left_anti")
+    subs = lone.select(
+        F.explode(F.array(2 * F.col("id"), 2 * F.col("id") + 1)).alias("sid"), F.col("id").alias("parent"), F.lit("").alias("disp"), F.lit(2).alias("stat"), "src", "seq",
+        F.lit(True).alias("editor"), F.lit("x").alias("name"), F.lit("y").alias("notes"),
+    )
+    t = {**_tables(b, "entr", "rdng", "kanj"), "kwsrc": b.kwsrc, "freq": b.freq}
+    return submissions.apply_in_rounds(t, subs, {})[1].select("sid", "outcome")
+
+
+@query(
+    "e9_two_batches",
+    """SELECT g.entr AS sid, g.sens, row_number() OVER (PARTITION BY g.entr, g.sens ORDER BY g.gloss) AS gloss, g.txt, true AS editor, '' AS disp FROM (SELECT entr, sens, gloss, txt FROM gloss
+ UNION ALL SELECT entr, 1, 1000, 'of the first' FROM sens WHERE sens = 1 AND entr % 3 = 0 UNION ALL SELECT entr, 1, 1001, 'of the second' FROM sens WHERE sens = 1 AND entr % 2 = 0) g
+ WHERE g.entr IN (SELECT id FROM entr WHERE id % 3 = 0 OR id % 2 = 0) AND EXISTS (SELECT 1 FROM sens s WHERE s.entr = g.entr)""",
+)
+def e9_two(b):
+    """Entries named by one batch or by both: one submission each, edits in order."""
+    cmds = b.spark.createDataFrame(
+        [(0, 1, "add", "gloss", "1", None, "of the first"), (7, 9, "add", "gloss", "1", None, "of the second")],
+        "batch INT, n INT, cmd STRING, operand STRING, place STRING, old STRING, new STRING",
+    )
+    target = lambda batch, step: b.entr.where(f"id % {step} = 0").select(F.lit(batch).alias("batch"), F.lit("id").alias("kind"), F.col("id").alias("num"), "src")
+    subs, content, _ = bulk.bulk_edit(_tables(b, "entr", "rdng", "kanj", "sens", "gloss", "pos"), cmds, target(0, 3).unionByName(target(7, 2)), _vocab(b))
+    return subs.join(content["gloss"].withColumnRenamed("entr", "sid"), "sid").select("sid", "sens", "gloss", "txt", "editor", "disp")
+
+
 # --- G1, G2 --------------------------------------------------------------------------
 
 _EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"

@@ -4,7 +4,7 @@ import pytest
 from conftest import tuples
 
 from lexispark.operators.bulk import bulk_edit, read_commands
-from lexispark.operators.submissions import apply_submissions, judge_submissions
+from lexispark.operators.submissions import apply_in_rounds, apply_submissions, judge_submissions
 
 ENTR = "id BIGINT, src INT, stat INT, seq BIGINT, dfrm BIGINT, unap BOOLEAN, srcnote STRING, notes STRING, idx BIGINT"
 SUBS = "sid BIGINT, parent BIGINT, disp STRING, stat INT, src INT, seq BIGINT, editor BOOLEAN, name STRING, notes STRING"
@@ -92,6 +92,27 @@ def test_apply(rows, tables):
     assert out["xref"].count() == 0  # its target is gone
 
 
+def test_rounds(rows, tables):
+    s = rows(SUBS, (1, 5, "", 2, 1, 20, False, "a", None), (2, 5, "", 2, 1, 20, False, "b", None), (3, 5, "a", 2, 1, 20, True, "c", None), (4, 12, "a", 2, 1, 60, True, "d", None), (5, 12, "", 2, 1, 60, True, "late", None))
+    content = {"rdng": rows(TXT["rdng"], *[(i, 1, f"n{i}") for i in range(1, 6)])}
+    out, res = apply_in_rounds(tables, s, content)
+    got = {r.sid: (r.outcome, r.id) for r in res.collect()}
+    # Both edits of 5 go in; it then has edits, so it can't be approved; 12 is gone once it is approved.
+    assert [got[i][0] for i in range(1, 6)] == ["added", "added", "non_leaf", "added", "noroot"]
+    new = {got[i][1]: f"n{i}" for i in (1, 2, 4)}
+    assert {r.entr: r.txt for r in out["rdng"].where("entr > 12").collect()} == new
+
+
+def test_bulk_batches_feed_submissions(rows, tables, kw):
+    cmds = rows("batch INT, n INT, cmd STRING, operand STRING, place STRING, old STRING, new STRING", (0, 1, "repl", "rdng", None, "r6", "one"), (3, 5, "repl", "rdng", None, "one", "two"), (3, 6, "add", "rdng", None, None, "three"))
+    targets = rows("batch INT, kind STRING, num BIGINT, src INT", (0, "id", 6, 1), (3, "id", 6, 1))
+    subs, content, skipped = bulk_edit(tables, cmds, targets, kw)
+    assert skipped.count() == 0 and tuples(subs, "sid", "disp", "editor") == [(6, "", True)]
+    out, res = apply_in_rounds(tables, subs, content)
+    assert [r.outcome for r in res.collect()] == ["added"]
+    assert tuples(out["rdng"].where("entr > 12"), "rdng", "txt") == [(1, "two"), (2, "three")]
+
+
 def test_bulk(spark, rows, tables, kw, tmp_path):
     f = tmp_path / "cmds.txt"
     f.write_text(
