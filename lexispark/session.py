@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _own_dirs: dict[str, str] = {}
 
 
-def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "lexispark"):
+def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "lexispark", **conf: str):
     """A session for tests and local runs; clusters bring their own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -22,6 +22,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config(map=conf)
         .getOrCreate()
     )
 

@@ -166,19 +166,22 @@ def test_align_clips(rows):
 XREF = "entr BIGINT, sens INT, xref INT, typ INT, xentr BIGINT, xsens INT, notes STRING"
 
 
+def edge(n, target, sense, entry=7):
+    return (entry, 1, n, 3, target, sense, None)
+
+
 @pytest.mark.parametrize("edges,targets,want", [
-    # one edge, one target of that number
-    ([(100, 1, 1, 2, 200, 2, None)], [(200, 2, False)], [True]),
-    # two senses of the same target: the second has an empty list, a set of its own
-    ([(100, 1, 1, 2, 200, 2, None), (100, 1, 2, 2, 200, 3, None)], [(200, 2, False)], [True, True]),
-    # both entries of a number, same sense: first true, second false
-    ([(100, 1, 1, 2, 200, 2, None), (100, 1, 2, 2, 201, 2, None)], [(200, 2, False), (201, 2, True)], [True, False]),
-    # both entries of a number, different senses
-    ([(100, 1, 1, 2, 200, 2, None), (100, 1, 2, 2, 201, 3, None)], [(200, 2, False), (201, 2, True)], [True, True]),
-    # one of two entries only
-    ([(100, 1, 1, 2, 200, 2, None)], [(200, 2, False), (201, 2, True)], [None]),
-    # the target is not active
-    ([(100, 1, 1, 2, 200, 2, None)], [(200, 4, False)], [None]),
+    # all of a number's entries are meant, by one edge to each: the first says so
+    ([edge(1, 31, 1), edge(2, 32, 1), edge(3, 33, 1)], [(31, 2, False), (32, 2, True), (33, 2, False)], [True, False, False]),
+    # one of three is left out
+    ([edge(1, 31, 1), edge(2, 33, 1)], [(31, 2, False), (32, 2, False), (33, 2, False)], [None, None]),
+    # a deleted target makes no set; the living one is a set of its own
+    ([edge(1, 31, 2)], [(31, 4, False)], [None]),
+    ([edge(1, 32, 2)], [(31, 4, False), (32, 2, False)], [True]),
+    # two senses of a single target stand for themselves
+    ([edge(1, 31, 1), edge(2, 31, 4)], [(31, 2, True)], [True, True]),
+    # two referring entries don't add up
+    ([edge(1, 31, 1), edge(1, 32, 1, entry=8)], [(31, 2, False), (32, 2, False)], [None, None]),
 ])
 def test_seq_xrefs(rows, edges, targets, want):
     e = rows(ENTR, *[(i, 1, s, 12345, None, u) for i, s, u in targets])
