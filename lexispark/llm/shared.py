@@ -28,6 +28,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are broadcast; with more, joins shuffle.
+BROADCAST_ROWS = 1 << 19
+
+
+def if_small(table: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, marked for broadcast if its count allows it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def with_rank(kept: DataFrame, by: str, rank: str) -> DataFrame:
     """Number the rows of each ``by`` from 0, without gaps, in a column ``rank``.
 
