@@ -72,7 +72,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_substring_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return span_dedup.remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", "text")
+    return span_dedup.remove_repeats(docs).select("doc_id", "n_removed", "text")
 
 
 _OP9_WORDS = "list_filter(string_split_regex(regexp_replace(lower(text), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]', ' ', 'g'), ' +'), lambda x: x <> '')"

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.shared import stored
+from lexispark.llm.shared import BROADCAST_ROWS, if_small, stored
 
 LONG = 16
 _SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s)\s*|[^\n]*\n\s*|[^\n]+\Z")
@@ -63,8 +63,24 @@ def spans(text: str, least: int, words: int) -> tuple[list[int], list[int], list
     return first, last, hashes
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _doc and _text, which name a text: doc_id, and 0 or the text's hash
+    where a doc_id is missing or not unique."""
+    hashed = F.xxhash64("text")
+    doc = F.col("doc_id").cast("long")
+    twice = stored(docs.where("doc_id is not null").groupBy(doc.alias("_twice")).count().where("count > 1").select("_twice"), "twice")
+    n = twice.count()
+    if n > BROADCAST_ROWS:
+        return docs.withColumns({"_doc": doc, "_text": hashed})
+    plain = docs.withColumns({"_doc": doc, "_text": F.when(doc.isNull(), hashed).otherwise(F.lit(0).cast("long"))})
+    if not n:
+        return plain
+    marked = plain.join(F.broadcast(twice), F.col("_doc") == F.col("_twice"), "left")
+    return marked.withColumn("_text", F.when(F.col("_twice").isNotNull(), hashed).otherwise(F.col("_text"))).drop("_twice")
+
+
 def all_spans(docs: DataFrame, least: int, words: int) -> DataFrame:
-    """_doc, _text (hash of the text), at, to, h0, h1 for every span of ``docs``."""
+    """_doc, _text, at, to, h0, h1 for every span of keyed ``docs``; 96 bits of the hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -79,15 +95,14 @@ def all_spans(docs: DataFrame, least: int, words: int) -> DataFrame:
             at = np.repeat(np.arange(len(batch)), sizes)
             yield pd.DataFrame({
                 "_doc": batch["_doc"].array[at], "_text": batch["_text"].array[at],
-                "at": np.array(first, np.int32), "to": np.array(last, np.int32), "h0": both[:, 0], "h1": both[:, 1],
+                "at": np.array(first, np.int32), "to": np.array(last, np.int32), "h0": both[:, 0], "h1": both[:, 1].astype(np.int32),
             }).astype({"_doc": "Int64"})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"), "text")
-    return rows.mapInPandas(run, "_doc bigint, _text bigint, at int, to int, h0 bigint, h1 bigint")
+    return docs.select("_doc", "_text", "text").mapInPandas(run, "_doc bigint, _text bigint, at int, to int, h0 bigint, h1 int")
 
 
 def repeated(docs: DataFrame, least: int, words: int) -> DataFrame:
-    """_doc, _text, spans: for each text, the non-first spans (at, to) in it."""
+    """_doc, _text, _spans: for each text of keyed ``docs``, the non-first spans (at, to) in it."""
     found = stored(all_spans(docs, least, words), "spans")
     place = F.struct(F.col("_doc").isNull().alias("none"), "_doc", "_text", "at")
     first = found.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
@@ -98,33 +113,32 @@ def repeated(docs: DataFrame, least: int, words: int) -> DataFrame:
 def _without(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
     rows = []
     for t, ranges in zip(text, spans):
-        if not t:
-            rows.append((t, 0, 0))
-            continue
         parts = sentences(t)
         gone = np.zeros(len(parts) + 1, np.int64)
-        for r in ranges if ranges is not None else ():
+        for r in ranges:
             gone[r["at"]] += 1
             gone[r["to"] + 1] -= 1
         gone = np.cumsum(gone[:-1]) > 0
-        kept = t if not gone.any() else "".join(t[a:b] for (a, b, _), g in zip(parts, gone) if not g)
-        rows.append((kept, len(parts), int(gone.sum())))
-    return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
+        rows.append(("".join(t[a:b] for (a, b, _), g in zip(parts, gone) if not g), int(gone.sum())))
+    return pd.DataFrame(rows, columns=["text", "n_removed"])
 
 
 def remove_repeats(docs: DataFrame, least: int = 2, words: int = 20) -> DataFrame:
     """The rows and columns of ``docs`` (doc_id, text, ...), with the repeated sentences cut
-    out of ``text``, and n_sentences and n_removed.
+    out of ``text``, and n_removed.
 
     Compared are words without case and spacing. A null or empty text stays. A text under
     ``words`` words has no span. Rows with equal doc_id and text are one text and lose the
-    same; rows without doc_id come last in the order. Columns of the given names
-    n_sentences and n_removed are replaced.
+    same; rows without doc_id come last in the order. A column n_removed is replaced. Only
+    texts that lose something are moved, if their keys are few enough to broadcast.
     """
-    hits = repeated(docs, least, words)
-    cut = F.pandas_udf(_without, "text string, n_sentences bigint, n_removed bigint")
-    keep = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("h._doc")) & (F.xxhash64("d.text") == F.col("h._text"))
-    joined = docs.alias("d").join(hits.alias("h"), same, "left")
-    joined = joined.select(*[F.col(f"d.`{c}`") for c in keep], cut(F.col("d.text"), F.col("h._spans")).alias("_new"))
-    return joined.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in keep], "_new.n_sentences", "_new.n_removed")
+    docs = keyed(docs.drop("n_removed"))
+    hits = stored(repeated(docs, least, words), "hits")
+    touched = if_small(hits.select(F.col("_doc").alias("_d"), F.col("_text").alias("_t")))
+    same = F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t"))
+    cut = F.pandas_udf(_without, "text string, n_removed bigint")
+    spans_of = hits.select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), "_spans")
+    changed = docs.join(touched, same, "left_semi").join(spans_of, same).withColumn("_new", cut("text", "_spans"))
+    changed = changed.withColumns({"text": F.col("_new.text"), "n_removed": F.col("_new.n_removed")})
+    rest = docs.join(touched, same, "left_anti").withColumn("n_removed", F.lit(0).cast("long"))
+    return rest.unionByName(changed.select(*rest.columns)).drop("_doc", "_text")
