@@ -174,6 +174,45 @@ def test_repeated_spans(spark, documents, prose):
     assert span_dedup.remove_repeats(docs.limit(0)).collect() == []
 
 
+def brute_runs(texts, least, words, cut, count):
+    """What is left of texts in order: sentences of any run that stood before, as a whole, are cut."""
+    seen, out = set(), []
+    for text in texts:
+        parts = [text[a:b] for a, b, _ in cut(text)]
+        plain = [tuple(p.lower().split()) for p in parts]
+        gone = set()
+        for i in range(len(parts)):
+            for j in range(i + least, len(parts) + 1):
+                run = tuple(plain[i:j])
+                if plain[i] and sum(map(count, parts[i:j])) >= words:
+                    if run in seen:
+                        gone |= set(range(i, j))
+                    seen.add(run)
+        out.append("".join(p for k, p in enumerate(parts) if k not in gone))
+    return out
+
+
+def test_every_sentence_of_a_repeated_run_goes(spark):
+    r = np.random.default_rng(5)
+    sentence = lambda n: " ".join(f"w{x}" for x in r.integers(0, 10**6, n)) + ". "
+    text = lambda sizes: "".join(sentence(n) for n in sizes)
+    passages = [text([15, 10, 3, 3, 3]), text([10, 5, 10]), *[text(r.integers(3, 16, 8)) for _ in range(20)]]
+    texts = [text(r.integers(3, 16, 4)) + passages[i % len(passages)] + text(r.integers(3, 16, 4)) for i in range(60)] + [passages[0] + passages[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [r["text"] for r in span_dedup.remove_repeats(df).orderBy("doc_id").collect()]
+    assert got == brute_runs(texts, 2, 20, span_dedup.sentences, lambda p: len(p.split()))
+    for p in passages:
+        assert not any(s in t for s in p.split(". ")[:-1] for t in got[len(passages) :])
+
+
+def test_repeats_without_blanks(spark):
+    passage = "春眠不觉晓处处闻啼鸟。夜来风雨声花落知多少。"
+    kana = "いろはにほへとちりぬるを。わかよたれそつねならむ。"
+    rows = [(1, "天地玄黄。" + passage + "宇宙洪荒。"), (2, "日月盈昃。" + passage + "辰宿列张。"), (3, kana), (4, "寒来暑往。" + kana), (5, "天。地。")]
+    got = {r["doc_id"]: r["text"] for r in span_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "日月盈昃。辰宿列张。", 3: kana, 4: "寒来暑往。", 5: rows[4][1]}
+
+
 def test_sentences_make_up_the_text(prose):
     for text in ("", "a", "a. b! c?\n\n d", "x\n", "\n\n a.b ", "no end " * 60, prose(3, 200), "a.\u2028b. c"):
         parts = span_dedup.sentences(text)
