@@ -4,7 +4,9 @@ Texts are vectors of hashed n-grams of one to three letters, weighted by the squ
 their count and by inverse document frequency over all documents that may be learned from,
 and normalised. Each language has several centroids, by spherical k-means over a bounded
 sample of its labelled texts. A text gets the language of the centroid of highest cosine,
-and is rejected where that cosine is far under what the language's own sample shows.
+and is rejected where that cosine is far under what the language's own sample shows for
+texts with about as many different n-grams: few of them reach a low cosine even in a clean
+text, so short or repetitive texts stay, and long texts far from every centroid go.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from lexispark.llm.embed_dedup import fit_cells
 BUCKETS = 4096
 CENTROIDS = 4  # of each language
 SAMPLE = 1000  # labelled texts (expected) of each language that centroids are fitted on
-#: Rejected: a cosine under REJECT times this quantile of the language's sample.
-QUANTILE, REJECT = 0.005, 0.25
+#: Rejected: a cosine under REJECT times this quantile of the language's sampled texts of like size.
+QUANTILE, REJECT = 0.05, 0.5
+LEAST = 20  # texts that a quantile is taken from, if the sample has them
 _letters: list[np.ndarray] = []
 
 
@@ -54,6 +57,26 @@ def vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / size if size else v
 
 
+def size_class(counts: np.ndarray) -> int:
+    """0 to 12: the whole part of the binary logarithm of the number of different n-grams."""
+    return int(np.count_nonzero(counts)).bit_length() - 1
+
+
+def limits(classes: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The lowest cosine that is not rejected, by size class. Neighbouring classes are taken
+    together until they hold LEAST texts. Under the middle class of such a group the limit
+    falls with the square root of the size, as the cosine of a part of a text does."""
+    out, start = np.zeros(BUCKETS.bit_length()), 0
+    n = np.bincount(classes, minlength=len(out))
+    for k in range(len(out)):
+        if n[start : k + 1].sum() >= LEAST and n[k + 1 :].sum() >= LEAST or k == len(out) - 1:
+            own = (classes >= start) & (classes <= k)
+            middle, low = np.median(classes[own]), REJECT * np.quantile(cosines[own], QUANTILE)
+            out[start : k + 1] = low * np.minimum(1, 2 ** ((np.arange(start, k + 1) - middle) / 2))
+            start = k + 1
+    return out
+
+
 def inverse_frequency(docs: DataFrame) -> np.ndarray:
     """Over all rows: log((1 + texts) / (1 + texts with the bucket)) + a small constant, so
     that n-grams of every text still count where nothing else is there."""
@@ -74,32 +97,33 @@ def inverse_frequency(docs: DataFrame) -> np.ndarray:
     return np.log((1 + n[-1]) / (1 + n[:-1])) + 0.01
 
 
-def fit(labelled: DataFrame, idf: np.ndarray, sample: int = SAMPLE) -> dict[str, tuple[np.ndarray, float]]:
-    """Centroids and rejection limit of each ``lang`` in ``labelled`` (doc_id, text, lang)."""
+def fit(labelled: DataFrame, idf: np.ndarray, sample: int = SAMPLE) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Centroids and rejection limits of each ``lang`` in ``labelled`` (doc_id, text, lang)."""
     per_lang = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     picked = labelled.join(F.broadcast(per_lang), "lang")  # one row per language
     picked = picked.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30) < sample / F.col("_n"))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            v = [None if (c := ngram_counts(t)) is None else vector(c, idf).astype(np.float32) for t in batch["text"]]
-            batch = batch.assign(v=v)
-            yield batch[batch["v"].notna()][["lang", "doc_id", "v"]]
+            counts = [ngram_counts(t) for t in batch["text"]]
+            v = [None if c is None else vector(c, idf).astype(np.float32) for c in counts]
+            batch = batch.assign(size=[-1 if c is None else size_class(c) for c in counts], v=v)
+            yield batch[batch["v"].notna()][["lang", "doc_id", "size", "v"]]
 
     def cluster(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(p.sort_values("doc_id")["v"].to_list()).astype(np.float64)
         c = fit_cells(x, min(CENTROIDS, len(x)))
-        limit = REJECT * float(np.quantile((x @ c.T).max(axis=1), QUANTILE))
-        return pd.DataFrame({"lang": key[0], "c": list(c), "limit": limit})
+        low = limits(p.sort_values("doc_id")["size"].to_numpy(), (x @ c.T).max(axis=1))
+        return pd.DataFrame({"lang": key[0], "c": list(c), "low": [low] * len(c)})
 
-    rows = picked.select("lang", "doc_id", "text").mapInPandas(vectors, "lang string, doc_id bigint, v array<float>")
+    rows = picked.select("lang", "doc_id", "text").mapInPandas(vectors, "lang string, doc_id bigint, size int, v array<float>")
     found: dict[str, list] = {}
-    for lang, c, limit in rows.groupBy("lang").applyInPandas(cluster, "lang string, c array<double>, limit double").collect():
-        found.setdefault(lang, []).append((c, limit))
-    return {lang: (np.array([c for c, _ in rows]), rows[0][1]) for lang, rows in sorted(found.items())}
+    for lang, c, low in rows.groupBy("lang").applyInPandas(cluster, "lang string, c array<double>, low array<double>").collect():
+        found.setdefault(lang, []).append((c, low))
+    return {lang: (np.array([c for c, _ in rows]), np.array(rows[0][1])) for lang, rows in sorted(found.items())}
 
 
-def predict(docs: DataFrame, model: dict[str, tuple[np.ndarray, float]], idf: np.ndarray) -> DataFrame:
+def predict(docs: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> DataFrame:
     """The rows and columns of ``docs`` with lang_pred, score and rejected."""
     held = docs.sparkSession.sparkContext.broadcast((model, idf))  # CENTROIDS x BUCKETS numbers a language
 
@@ -115,7 +139,7 @@ def predict(docs: DataFrame, model: dict[str, tuple[np.ndarray, float]], idf: np
                 continue
             near = np.maximum.reduceat(all_ @ vector(c, idf), first)
             best = int(near.argmax())
-            out.append((names[best], float(min(1.0, max(0.0, near[best]))), bool(near[best] < languages[names[best]][1])))
+            out.append((names[best], float(min(1.0, max(0.0, near[best]))), bool(near[best] < languages[names[best]][1][size_class(c)])))
         return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     run.__annotations__ = {"text": pd.Series, "return": pd.DataFrame}

@@ -136,6 +136,28 @@ def test_a_prediction_reads_the_text_alone(spark, prose):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+FOREIGN = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. ",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. ",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. ",
+    "hu": "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek. ",
+    "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. ",
+}
+
+
+def test_rejection_depends_on_size(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    r = np.random.default_rng(1)
+    noise = " ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), r.integers(2, 9))) for _ in range(300))
+    foreign = [*FOREIGN.values(), *[5 * t for t in FOREIGN.values()], noise]
+    short = ["the", "The house", "la casa", "und", "les", "the the the the the the the the the the the"]
+    more = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(foreign + short)], docs.schema)
+    got = {x["doc_id"]: x for x in langid.identify(docs.unionByName(more)).collect()}
+    assert [got[10**6 + i]["rejected"] for i in range(len(foreign + short))] == [True] * len(foreign) + [False] * len(short)
+    clean = [x for x in got.values() if x["held_out"] and x["doc_id"] < 10**6]
+    assert sum(x["rejected"] for x in clean) <= 0.03 * len(clean)
+
+
 def brute_spans(rows, least, words):
     """First places of spans, then the sentences that any other covers."""
     first, out = {}, {}
