@@ -40,6 +40,10 @@ class _WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.special = {w: np.array([i], "<u4").tobytes() for w, i in special.items()}
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if special else lambda text: [text]
         self.to_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def __missing__(self, word: str) -> bytes:
@@ -58,11 +62,27 @@ class _WordIds(dict):
         return b"".join(map(self.__getitem__, _STOP.sub(" ", low).replace("\n", " ").split(" ")))
 
 
-def token_bytes(text: str, path: str) -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit numbers."""
+    def all_ids(self, text: str) -> bytes:
+        parts = self.cut(text)  # every second one is a special token
+        if len(parts) == 1:
+            return self.ids(text)
+        return b"".join([self.special[p] if k % 2 else self.ids(p) if p else b"" for k, p in enumerate(parts)])
+
+
+def _word_ids(path: str) -> _WordIds:
     if path not in _tokenizers:
         _tokenizers[path] = _WordIds(path)
-    return _tokenizers[path].ids(text)
+    return _tokenizers[path]
+
+
+def token_bytes(text: str, path: str) -> bytes:
+    """The ids of a text as little-endian unsigned 32-bit numbers, special tokens as plain text."""
+    return _word_ids(path).ids(text)
+
+
+def text_bytes(text: str, path: str) -> bytes:
+    """As the tokenizer gives them by default: special tokens, in exact case, have ids of their own."""
+    return _word_ids(path).all_ids(text)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -75,7 +95,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
         for batch in batches:
             rows = []
             for doc, missing, text in zip(batch.doc_id, batch.doc_id.isna(), batch.text):
-                ids = token_bytes(text or "", path) + end
+                ids = text_bytes(text or "", path) + end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     row = (None if missing else int(doc), k, at // 4, len(part) // 4, zlib.crc32(part))

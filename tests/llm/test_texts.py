@@ -54,6 +54,20 @@ def test_word_ids_are_text_ids(text):
     assert packing.token_bytes(text, tokenizer_path()) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_special_tokens_have_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    t, e, b = Tokenizer.from_file(tokenizer_path()), "<|endoftext|>", "<|startoftext|>"
+    texts = [f"end of page {e} next", e, f"{b}{e}{e}", f"A.{e}b, c{b} ", f"don't{e}'t. x{e}", "<|ENDOFTEXT|> <|endoftext|", f"<{e}>\n{b}\n É. {e}\u0301a", "plain."]
+    for text in texts:
+        assert packing.text_bytes(text, tokenizer_path()) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert t.encode(texts[0], add_special_tokens=False).ids.count(49407) == 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["length"], list(r["ids"])) for r in packing.pack_documents(df, tokenizer_path(), keep_ids=True).collect()}
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
+    assert got == {i: (len(x), x) for i, x in want.items()}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_uses_every_piece_once(seed):
     r = np.random.default_rng(seed)
