@@ -44,9 +44,3 @@ def kw(spark):
         "stat": plain((2, "A"), (4, "D"), (6, "R")),
         "cinf": plain((25, "jis208"), (32, "nelson_rad"), (24, "strokes"), (23, "pinyin"), (1, "nelson_c"), (9, "moro"), (18, "skip")),
     }
-
-
-def tuples(df, *cols):
-    """Rows as a sorted list of tuples."""
-    picked = df.select(*cols) if cols else df
-    return sorted((tuple(r) for r in picked.collect()), key=lambda t: tuple((x is None, str(x)) for x in t))

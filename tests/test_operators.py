@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from conftest import tuples
+from compared_rows import tuples
 from pyspark.sql import functions as F
 
 from lexispark.operators import audit, clips, counts, edits, inflect, pairs, refs, resolve, search, similar, skew, summary

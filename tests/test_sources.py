@@ -1,7 +1,7 @@
 """Readers and writers on small files."""
 
 import pytest
-from conftest import tuples
+from compared_rows import tuples
 
 from lexispark.sources import clipfiles, edict, edict_out, importer, json_entries, kanji, sentences, tables as store, tagtables
 from lexispark.sources.dictionary import read_dictionary_xml, read_wanted, extract_by_seq, sniff_xml_type, xml_created

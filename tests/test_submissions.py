@@ -1,7 +1,7 @@
 """Batches of submissions and bulk edits on small literal trees."""
 
 import pytest
-from conftest import tuples
+from compared_rows import tuples
 
 from lexispark.operators.bulk import bulk_edit, read_commands
 from lexispark.operators.submissions import apply_in_rounds, apply_submissions, judge_submissions
