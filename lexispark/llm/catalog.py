@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import decontaminate, embed_dedup, jaccard_join, kd_shards, langid, lm_score, packing, span_dedup, tool_calls, url_filter
+from lexispark.llm import collocations, decontaminate, embed_dedup, jaccard_join, kd_shards, langid, lm_score, merkle, packing, span_dedup, tool_calls, url_filter
 from lexispark.llm.shared import read_table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -174,3 +174,53 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_lm_scoring")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.stupid_backoff(read_table(spark, sf_dir, "documents"), order=3)
+
+
+_ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_LEAF = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+#: The checksum's steps: a byte is added, then eight halvings follow.
+_CRC = """xor(list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, 4294967295::BIGINT), 4294967295::BIGINT)"""
+_OP12_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_LEAF("text")} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {_LEAF(f"translate(text, {_ABC})")} ELSE {_LEAF("text")} END AS tampered FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS rid FROM d),
+up AS (SELECT source, 0 AS lev, list(leaf ORDER BY pos) AS l FROM p GROUP BY source
+  UNION ALL SELECT source, lev + 1, [sha256(array_to_string(l[i * 16 + 1:i * 16 + 16], '')) for i in range(0, (len(l) + 15) // 16)] FROM up WHERE len(l) > 1),
+sub AS (SELECT source, l[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS spos FROM up WHERE len(l) = 1),
+top AS (SELECT 0 AS lev, list(subroot ORDER BY spos) AS l FROM sub
+  UNION ALL SELECT lev + 1, [sha256(array_to_string(l[i * 16 + 1:i * 16 + 16], '')) for i in range(0, (len(l) + 15) // 16)] FROM top WHERE len(l) > 1),
+lv AS (SELECT rid, lev AS o, l, pos // (16 ** lev)::BIGINT AS j FROM p JOIN up ON p.source IS NOT DISTINCT FROM up.source WHERE len(l) > 1
+  UNION ALL SELECT rid, 100 + lev, l, spos // (16 ** lev)::BIGINT FROM p JOIN sub ON p.source IS NOT DISTINCT FROM sub.source JOIN top ON len(l) > 1),
+beside AS (SELECT rid, o, array_to_string(l[j // 16 * 16 + 1:j], '') AS b, array_to_string(l[j + 2:j // 16 * 16 + 16], '') AS a FROM lv),
+proof AS (SELECT rid, sha256(string_agg(b || a, '' ORDER BY o)) AS proof, list({{'b': b, 'a': a}} ORDER BY o) AS steps FROM beside GROUP BY rid),
+fold AS (SELECT rid, 1 AS i, tampered AS node, steps FROM p LEFT JOIN proof USING (rid)
+  UNION ALL SELECT rid, i + 1, sha256(steps[i].b || node || steps[i].a), steps FROM fold WHERE i <= len(steps))
+SELECT doc_id, p.source AS source_key, pos AS position, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, coalesce(len(proof.steps), 0) AS siblings, node AS folded_root, node = root AS verified
+FROM p JOIN sub ON p.source IS NOT DISTINCT FROM sub.source LEFT JOIN proof USING (rid) JOIN fold USING (rid), (SELECT l[1] AS root FROM top WHERE len(l) = 1)
+WHERE fold.i = 1 + coalesce(len(proof.steps), 0)"""
+
+
+@register("op12_merkle_manifest", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
+
+
+_OP13_SQL = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_ABC}), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, unnest([array_to_string(w[j:j + k - 1], ' ') for j in range(1, len(w) - k + 2)]) AS s FROM w, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, s, count(*) AS f FROM g GROUP BY ALL),
+c AS (SELECT lang, k, s, f AS a, string_split(s, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+longer AS (SELECT lang, s, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS s FROM c WHERE k = 3) GROUP BY ALL),
+cut AS (SELECT c.*, j FROM c ANTI JOIN longer ON c.k = 2 AND c.lang = longer.lang AND c.s = longer.s AND 100 * most >= 50 * a, (VALUES (1), (2)) v(j) WHERE j < k),
+score AS (SELECT cut.lang, cut.s, a, j, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score FROM cut
+  JOIN f l ON l.lang = cut.lang AND l.s = array_to_string(w[1:j], ' ') JOIN f r ON r.lang = cut.lang AND r.s = array_to_string(w[j + 1:3], ' ')),
+best AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, j) = 1),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) AS rank, s AS phrase, a, l, r, n, score::BIGINT AS score FROM best JOIN n USING (lang)
+QUALIFY rank <= 2000"""
+
+
+@register("op13_phrase_collocations", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"), max_words=3, least=10, percent=50, top=2000)
