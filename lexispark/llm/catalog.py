@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import collocations, decontaminate, embed_dedup, jaccard_join, kd_shards, langid, lm_score, merkle, packing, span_dedup, tool_calls, url_filter
+from lexispark.llm import collocations, decontaminate, embed_dedup, jaccard_join, kd_shards, langid, lm_score, merkle, packing, span_dedup, tool_calls, toxicity, url_filter
 from lexispark.llm.shared import read_table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -176,6 +176,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.stupid_backoff(read_table(spark, sf_dir, "documents"), order=3)
 
 
+@register("op11_toxicity")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _LEAF = lambda text: "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
 #: The checksum's steps: a byte is added, then eight halvings follow.
