@@ -13,9 +13,10 @@ paths, stored as one list of words with one weight, from which edges and inner n
 read again. A unary path lies within one piece (every passage through it goes all the way),
 so its list is no longer than that piece.
 
-Rows are shuffled once, by node, so that edges and flow are summed in the same place. A
-node that holds over two of K parts of all places is split by last word; a first pass over
-the texts finds these nodes (a list of K nodes at most, whatever the texts hold).
+Rows are shuffled once, by their first word, so that edges and flow are summed in the same
+place; a task sends the grams of a word as one row. A first word, or longer start of a gram,
+that holds over two of K parts of all places is hot: its grams are dealt by one word more.
+A first pass over the texts finds the hot starts (lists of K at most, whatever the texts hold).
 """
 
 from __future__ import annotations
@@ -32,14 +33,15 @@ from lexispark.llm.shared import if_small, stored
 
 #: Words whose grams a task counts before it sends them on.
 CHUNK = 1_000_000
-#: A node counts as hot from this share of all places on (or a quarter of a shuffle part).
+#: A start of grams counts as hot from this share of all places on (or a quarter of a shuffle part).
 HOT_SHARE = 2000
 #: Words of a shuffle part.
 PART = 2_000_000
 
 _MARK = 0xFF  # never part of UTF-8
 _TABLE = bytes(_MARK if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_GRAMS = "lang string, head string, last string, n bigint"
+_STARTS = "lang string, words int, start string, n bigint"
+_GRAMS = "lang string, first string, part string, hot boolean, rests string, counts array<int>"
 
 
 class Numbers(dict):
@@ -104,70 +106,112 @@ def _combined(columns: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndar
 
 
 def _joined(words: pa.Array, columns: list[np.ndarray]) -> pa.Array:
-    """The words of the columns with blanks between; 0 is no word."""
-    taken = [words.take(pa.array(c)) for c in columns]
-    return pc.binary_join_element_wise(*taken, " ", null_handling="skip") if len(taken) > 1 else taken[0]
-
-
-def _batches(lang: str, head: pa.Array, last: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    whole = pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), head, last, pa.array(n, pa.int64())], ["lang", "head", "last", "n"])
-    for k in range(0, len(n), 100_000):
-        yield whole.slice(k, 100_000)
-
-
-def grams(texts: DataFrame, words: int) -> DataFrame:
-    """(lang, head, last, n): the gram of each place, summed by chunk of the text. ``last``
-    is null where the piece ends before; ``head`` may then have fewer words as well."""
+    """The words of the columns with blanks between. 0 is no word, and none follows it."""
+    first, *more = (words.take(pa.array(c)) for c in columns)
+    first = pc.fill_null(first, "")  # the join drops rows that have no word at all
+    return pc.binary_join_element_wise(first, *more, " ", null_handling="skip") if more else first
+
+
+def _begins(columns: list[np.ndarray]) -> np.ndarray:
+    """Whether a row of sorted columns differs from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
+def _hot_words(names: pa.Array, columns: list[np.ndarray], hot: list[pa.Array]) -> np.ndarray:
+    """How many words of each gram, from the first on, are hot starts."""
+    depth, alive = np.zeros(len(columns[0]), np.int64), np.ones(len(columns[0]), bool)
+    for k, starts in enumerate(hot, 1):
+        new = _begins(columns[:k])
+        at = np.flatnonzero(new & alive)
+        found = np.zeros(len(new), bool)
+        found[at] = pc.is_in(_joined(names, [c[at] for c in columns[:k]]), value_set=starts).to_numpy(zero_copy_only=False)
+        alive = found[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(new) else alive
+        depth[alive] = k
+    return depth
+
+
+def grams(texts: DataFrame, words: int, hot: dict[str, list[pa.Array]]) -> DataFrame:
+    """The grams of all places, summed by chunk of the text: (lang, first, part, hot, rests,
+    counts). ``hot`` tells that the gram's node is split. ``rests`` are the grams' other words, a line each (fewer, or an empty line,
+    where the piece ends before); ``part`` is what they share if ``first`` is hot."""
 
     def count(batches):
         for names, held in _chunks(batches):
             for lang, ids in held.items():
                 columns = _places(ids, words)
-                first, n = _combined(columns, len(names))
-                columns = [c[first] for c in columns]
-                yield from _batches(lang, _joined(names, columns[:-1]), _joined(names, columns[-1:]), n)
+                at, n = _combined(columns, len(names))
+                columns = [c[at] for c in columns]
+                depth = _hot_words(names, columns, hot.get(lang, []))
+                shared = [np.where(depth >= k, c, 0) for k, c in enumerate(columns)]
+                at = np.flatnonzero(_begins(shared))
+                offsets = pa.array(np.append(at, len(n)), pa.int32())
+                rests = _joined(names, columns[1:])
+                part = pc.if_else(pa.array(depth[at] > 0), _joined(names, [c[at] for c in shared[1:]]), pa.scalar(None, pa.string()))
+                rows = pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(at), pa.string()), names.take(pa.array(columns[0][at])), part, pa.array(depth[at] == words - 1),
+                     pc.binary_join(pa.ListArray.from_arrays(offsets, rests), "\n"), pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32()))],
+                    ["lang", "first", "part", "hot", "rests", "counts"],
+                )
+                for k in range(0, len(at), 20_000):
+                    yield rows.slice(k, 20_000)
 
     return texts.mapInArrow(count, _GRAMS)
 
 
-def hot_nodes(texts: DataFrame, words: int) -> tuple[DataFrame, int, int]:
-    """(nodes that hold more than two of K parts of all places, number of places, K).
+def hot_starts(texts: DataFrame, words: int) -> tuple[dict[str, list[pa.Array]], int]:
+    """(lang -> the hot starts of 1, 2, .. words - 1 words, number of places).
 
-    A chunk gives the nodes that hold a K-th of its own places, and its places. The nodes of
-    which that is at least a K-th of all are at most K; a node with two of K parts of all is
-    among them, as what chunks leave out of it is below a K-th of all.
+    A chunk gives the starts that hold a K-th of its own places, and its places. Those for
+    which that makes a K-th of all places are at most K of each length; a start with two of
+    K parts of all is among them, as what chunks leave out of it is below a K-th of all.
     """
     share = max(HOT_SHARE, 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def count(batches):
         for names, held in _chunks(batches):
-            total = sum(map(np.count_nonzero, held.values()))
+            total = int(sum(map(np.count_nonzero, held.values())))
+            out = [(None, 0, None, total)]
             for lang, ids in held.items():
                 columns = _places(ids, words - 1)
-                yield from _batches(lang, pa.array([None], pa.string()), pa.array([None], pa.string()), np.array([len(columns[0])]))
-                first, n = _combined(columns, len(names))
-                kept = n * share >= total
-                columns = [c[first[kept]] for c in columns]
-                yield from _batches(lang, _joined(names, columns), pa.nulls(int(kept.sum()), pa.string()), n[kept])
-
-    found = stored(texts.mapInArrow(count, _GRAMS).groupBy("lang", "head").agg(F.sum("n").alias("n")), "hot_nodes")
-    total = found.where("head is null").agg(F.sum("n")).first()[0] or 0
-    return found.where(F.col("head").isNotNull() & (F.col("n") * share >= total)).select("lang", "head"), total, share
+                for k in range(1, words):
+                    whole = [c[columns[k - 1] > 0] for c in columns[:k]]
+                    at, n = _combined(whole, len(names))
+                    at, n = at[n * share >= total], n[n * share >= total]
+                    out += zip([lang] * len(n), [k] * len(n), _joined(names, [c[at] for c in whole]).to_pylist(), n.tolist())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "start", "n"])
+
+    found = stored(texts.mapInArrow(count, _STARTS).groupBy("lang", "words", "start").agg(F.sum("n").alias("n")), "starts")
+    total = found.where("words = 0").agg(F.sum("n")).first()[0] or 0
+    hot: dict[str, list[list[str]]] = {}
+    for r in found.where((F.col("words") > 0) & (F.col("n") * share >= total)).collect():  # K of each length at most
+        hot.setdefault(r["lang"], [[] for _ in range(1, words)])[r["words"] - 1].append(r["start"])
+    return {lang: [pa.array(s, pa.string()) for s in by] for lang, by in hot.items()}, total
 
 
 def _summed(texts: DataFrame, words: int, least: int) -> tuple[DataFrame, DataFrame]:
     """Edges (lang, head, last, n) of weight ``least`` or more, and the flow (lang, head, n,
-    hot) of every node; grams shorter than a node, with which pieces end, are rows of flow."""
-    hot, total, _ = hot_nodes(texts, words)
-    hot = F.broadcast(hot.withColumn("hot", F.lit(True)))  # K rows at most
-    rows = grams(texts, words).join(hot, ["lang", "head"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    key = F.when(F.col("hot"), F.xxhash64("lang", "head", "last")).otherwise(F.xxhash64("lang", "head"))
+    hot) of every node; grams shorter than a node, with which pieces end, are rows of flow.
+    The flow of a hot node is in several rows."""
+    hot, total = hot_starts(texts, words)
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART + 1)
-    rows = rows.withColumn("key", key).repartition(parts, "key")
-    gram = rows.groupBy("key", "lang", "head", "hot", "last").agg(F.sum("n").alias("n"))
-    kept = F.when(F.col("last").isNotNull() & (F.col("n") >= least), F.array(F.lit(None).cast("string"), F.col("last"))).otherwise(F.array(F.lit(None).cast("string")))
-    both = gram.select("key", "lang", "head", "hot", "n", F.explode(kept).alias("last")).groupBy("key", "lang", "head", "hot", "last").agg(F.sum("n").alias("n"))
-    both = stored(both.drop("key"), "edges_and_flow")
+    rows = grams(texts, words, hot).repartition(parts, "lang", "first", "part")
+    each = F.explode(F.arrays_zip(F.split("rests", "\n", -1).alias("rest"), F.col("counts").alias("n"))).alias("g")
+    gram = rows.select("lang", "first", "part", "hot", each).groupBy("lang", "first", "part", "hot", F.col("g.rest").alias("rest")).agg(F.sum("g.n").alias("n"))
+    full = (F.col("rest") != "") if words == 2 else F.size(F.split("rest", " ")) == words - 1
+    gram = gram.withColumn("full", full)
+    begin = F.concat_ws(" ", "first", F.when(F.col("rest") != "", F.col("rest")))
+    gram = gram.select(
+        "lang", "first", "part", "hot", "n", F.when(F.col("full"), F.substring_index(begin, " ", words - 1)).otherwise(begin).alias("head"),
+        F.when(F.col("full"), F.substring_index("rest", " ", -1)).alias("last"),
+    )
+    none = F.lit(None).cast("string")
+    kept = F.explode(F.when(F.col("last").isNotNull() & (F.col("n") >= least), F.array(none, F.col("last"))).otherwise(F.array(none))).alias("last")
+    both = gram.select("lang", "first", "part", "hot", "head", "n", kept).groupBy("lang", "first", "part", "hot", "head", "last").agg(F.sum("n").alias("n"))
+    both = stored(both.select("lang", "head", "last", "n", "hot"), "edges_and_flow")
     return both.where("last is not null").drop("hot"), both.where("last is null").drop("last")
 
 
