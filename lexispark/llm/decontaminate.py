@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.shared import plain_words, runs, stored, to_long, word_hashes
+from lexispark.llm.shared import pieces, plain_words, runs, stored, to_long, word_hashes
 
 #: Sketch members that each task may hold (8 bytes each). With more, documents send their
 #: shingles to a join instead.
@@ -33,7 +33,7 @@ def item_shingles(items: DataFrame, k: int) -> DataFrame:
     """item_id, width (words in a shingle: k, or all of a shorter item), n, hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for item, text in zip(batch.item_id, batch.text):
                 w = plain_words(text)
@@ -69,7 +69,7 @@ def _texts_with_members(docs: DataFrame, members: DataFrame) -> DataFrame:
         held = docs.sparkSession.sparkContext.broadcast({w: np.sort(np.array(v, np.int64)) for w, v in held.items()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for text in batch["text"]:
                 h, hits = word_hashes(plain_words(text)), []

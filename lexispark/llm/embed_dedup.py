@@ -1,5 +1,10 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products.
 
+Equal vectors of a label are one vector with a weight, so a group of copies is one row of
+the comparisons. A label of n different vectors has about sqrt(n) / SPLIT cells, from some
+seventeen vectors on: cells grow in number and in size with the data. Centroids are fitted
+on a sample by hash, in two levels where they are many.
+
 Exact: a vector is compared in its own cell and visits each cell of lower number that can
 hold a partner. If y has home h and x home c, then (y - x) . (C_h - C_c) is at least
 y . (C_h - C_c), so y need not visit c where that exceeds |C_h - C_c| times the largest
@@ -14,15 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.shared import components, stored
+from lexispark.llm.shared import BROADCAST_ROWS, components, if_small, join_split, stored
 
 BLOCK = 512  # vectors of one side of a product
-CELL = 2048  # vectors for which a label gets one more cell
-MAX_CELLS = 2048  # of all labels together: centroids held by each task
+SPLIT = 4  # a label of n vectors has a SPLIT-th of sqrt(n) cells
 SAMPLE_PER_CELL = 32  # vectors (expected) that centroids are fitted on
+FLAT = 64  # cells that are fitted at once; more are fitted in two levels
+HELD = 1 << 15  # centroids that each task may hold; with more, labels meet theirs in a join
+SLICE = 1 << 15  # vectors of a label that a task places in that join
 
 
 def unit_vectors(rows: DataFrame, label: str) -> DataFrame:
@@ -54,49 +61,77 @@ def fit_cells(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def centroids(units: DataFrame) -> dict[tuple[str, int], np.ndarray]:
-    """Centroids of the groups (label, dimension) that need more than one cell. Fitted on
-    about SAMPLE_PER_CELL vectors a cell, picked by hash; at most MAX_CELLS in all."""
-    sizes = units.groupBy("_label", "_dim").agg(F.count(F.lit(1)).alias("n"))
-    share = F.greatest(F.lit(float(CELL)), F.sum("n").over(Window.partitionBy()) / MAX_CELLS)
-    large = [tuple(r) for r in sizes.withColumn("k", (F.col("n") / share).cast("int")).where("k > 1").collect()]  # k sums to MAX_CELLS at most
-    if not large:
-        return {}
-    part = units.sparkSession.createDataFrame([(a, d, k, k * SAMPLE_PER_CELL / n) for a, d, n, k in large], "_label string, _dim int, k int, part double")
-    picked = units.join(F.broadcast(part), ["_label", "_dim"]).where(F.pmod(F.xxhash64("_rid"), F.lit(1 << 20)) < F.col("part") * (1 << 20))
+def fit_many(x: np.ndarray, k: int) -> np.ndarray:
+    """k centroids; more than FLAT of them as a part for each of sqrt(k) coarse cells."""
+    if k <= FLAT:
+        return fit_cells(x, min(k, len(x)))
+    coarse = (x @ fit_cells(x, math.isqrt(k)).T).argmax(axis=1)
+    parts = [x[coarse == c] for c in np.unique(coarse)]
+    return np.concatenate([fit_cells(p, max(1, round(k * len(p) / len(x)))) for p in parts])
+
+
+def centroids(units: DataFrame) -> DataFrame:
+    """(_label, _dim, _n, c) of the groups that have more than one cell, fitted on about
+    SAMPLE_PER_CELL vectors a cell."""
+    sizes = units.groupBy("_label", "_dim").agg(F.count(F.lit(1)).alias("_n"))
+    many = stored(sizes.withColumn("_k", F.ceil(F.sqrt("_n") / SPLIT).cast("int")).where("_k > 1"), "cell_numbers")
+    picked = units.select("_rid", "_label", "_dim", "unit").join(if_small(many), ["_label", "_dim"])
+    picked = picked.where(F.pmod(F.xxhash64("_rid"), F.lit(1 << 20)) * F.col("_n") < F.col("_k") * (SAMPLE_PER_CELL << 20))
 
     def fit(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("_rid")
-        c = fit_cells(np.stack(p["unit"].to_list()), min(int(p["k"].iloc[0]), len(p)))
-        return pd.DataFrame({"_label": key[0], "_dim": key[1], "c": list(c)})
-
-    found: dict[tuple[str, int], list] = {}
-    for a, d, c in picked.groupBy("_label", "_dim").applyInPandas(fit, "_label string, _dim int, c array<double>").collect():
-        found.setdefault((a, d), []).append(c)
-    return {key: np.array(c) for key, c in found.items()}
+        c = fit_many(np.stack(p["unit"].to_list()), int(p["_k"].iloc[0]))
+        return pd.DataFrame({"_label": key[0], "_dim": key[1], "_n": p["_n"].iloc[0], "c": list(c)})
+
+    return stored(picked.groupBy("_label", "_dim").applyInPandas(fit, "_label string, _dim int, _n bigint, c array<double>"), "centroids")
+
+
+def place(p: pd.DataFrame, c: np.ndarray | None, reach: float) -> Iterator[pd.DataFrame]:
+    """The vectors of one label with _cell and _home; visits are rows of their own."""
+    if c is None or not len(c):
+        yield p.assign(_cell=0, _home=True)
+        return
+    size = (c * c).sum(axis=1)
+    step = max(1, (1 << 21) // len(c))
+    for at in range(0, len(p), step):
+        some = p.iloc[at : at + step]
+        near = np.stack(some["unit"].to_list()) @ c.T
+        home = near.argmax(axis=1)
+        between = np.sqrt(np.maximum(0, size[home][:, None] + size - 2 * c[home] @ c.T))
+        gap = near[np.arange(len(some)), home][:, None] - near
+        row, cell = np.nonzero((gap <= reach * between + 1e-12) & (np.arange(len(c)) < home[:, None]))
+        row, cell = np.concatenate([np.arange(len(some)), row]), np.concatenate([home, cell])
+        yield some.iloc[row].assign(_cell=cell, _home=np.arange(len(row)) < len(some))
 
 
 def cells(units: DataFrame, cosine: float) -> DataFrame:
     """units with _cell and _home (false for visits)."""
-    held = units.sparkSession.sparkContext.broadcast(centroids(units))
+    found = centroids(units)
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema) + ", _cell int, _home boolean"
+    if found.count() <= HELD:
+        held: dict[tuple[str, int], list] = {}
+        for r in found.collect():
+            held.setdefault((r["_label"], r["_dim"]), []).append(r["c"])
+        sent = units.sparkSession.sparkContext.broadcast({k: np.array(c) for k, c in held.items()})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, p in batch.groupby(["_label", "_dim"]):
-                c = held.value.get(key)
-                if c is None:
-                    yield p.assign(_cell=0, _home=True)
-                    continue
-                between = np.linalg.norm(c[:, None] - c[None], axis=2)
-                near = np.stack(p["unit"].to_list()) @ c.T
-                home = near.argmax(axis=1)
-                gap = near[np.arange(len(p)), home][:, None] - near
-                row, cell = np.nonzero((gap <= reach * between[home]) & (np.arange(len(c)) < home[:, None]))
-                row, cell = np.concatenate([np.arange(len(p)), row]), np.concatenate([home, cell])
-                yield p.iloc[row].assign(_cell=cell, _home=np.arange(len(row)) < len(p))
-
-    return units.mapInPandas(run, "_rid bigint, vec_id bigint, _label string, _dim int, unit array<double>, _cell int, _home boolean")
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for key, p in batch.groupby(["_label", "_dim"]):
+                    yield from place(p, sent.value.get(key), reach)
+
+        return units.mapInPandas(run, schema)
+    slices = found.groupBy("_label", "_dim").agg(F.ceil(F.max("_n") / SLICE).cast("int").alias("_slices"))
+    slices = stored(slices, "slices")
+    dealt = units.join(if_small(slices), ["_label", "_dim"], "left").withColumn("_slice", F.coalesce(F.pmod(F.xxhash64("_rid"), F.col("_slices")), F.pmod(F.xxhash64("_rid"), F.lit(1))).cast("int")).drop("_slices")
+    copies = found.join(if_small(slices), ["_label", "_dim"]).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+    by = ["_label", "_dim", "_slice"]
+
+    def meet(p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        given = np.stack(c["c"].to_list()) if len(c) else None
+        return pd.concat(list(place(p.drop(columns="_slice"), given, reach))) if len(p) else p.drop(columns="_slice").assign(_cell=0, _home=True)
+
+    return dealt.groupBy(*by).cogroup(copies.select(*by, "c").groupBy(*by)).applyInPandas(meet, schema)
 
 
 def _forest(mask: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -113,24 +148,42 @@ def _forest(mask: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return root
 
 
+_KEY = ["_label", "_dim", "_h0", "_h1", "_twice", "_own"]
+
+
+def collapsed(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (_rid, vec_id, key) and one row for equal vectors of a label: key, _rep (the
+    lowest _rid), _weight (rows) and _low (lowest vec_id). A vec_id of several rows keeps
+    rows of its own, as they are no links of each other. Equal is the same 128-bit hash."""
+    twice = stored(units.groupBy("vec_id").count().where("count > 1").select("vec_id", F.lit(True).alias("_twice")), "twice")
+    keyed = units.select("_rid", "vec_id", "_label", "_dim", F.xxhash64("unit").alias("_h0"), F.xxhash64(F.lit(1), "unit").alias("_h1"))
+    keyed = keyed.join(F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice, "vec_id", "left")
+    keyed = keyed.withColumn("_twice", F.coalesce("_twice", F.lit(False))).withColumn("_own", F.when(F.col("_twice"), F.col("vec_id")).otherwise(0))
+    keyed = stored(keyed, "keyed")
+    single = keyed.groupBy(*_KEY).agg(F.min("_rid").alias("_rep"), F.count(F.lit(1)).alias("_weight"), F.min("vec_id").alias("_low"))
+    return keyed, stored(single, "single")
+
+
 def block_links(placed: DataFrame, cosine: float) -> DataFrame:
-    """_rid, vec_id, n, root: links of each vector in each pair of blocks."""
+    """_rid, _low, n, root: links of each vector in each pair of blocks, by weight."""
     last = placed.groupBy("_label", "_dim", "_cell").agg((F.count(F.lit(1)) / BLOCK).cast("int").alias("_last"))
     dealt = placed.join(last, ["_label", "_dim", "_cell"])
-    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("_rid"), F.col("_last") + 1).cast("int"))
+    dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("_rid"), F.col("_last") + 1).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-    dealt = dealt.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}).drop("_other", "_last")
+    dealt = dealt.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")}).drop("_other", "_last")
 
     def product(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        x, ids, home = np.stack(p["unit"].to_list()), p["vec_id"].to_numpy(), p["_home"].to_numpy(bool)
-        own, (i, j) = p["_own"].to_numpy(), key[-2:]
-        mask = (x @ x.T >= cosine) & (ids[:, None] != ids) & (home[:, None] | home)
+        x, low, home = np.stack(p["unit"].to_list()), p["_low"].to_numpy(), p["_home"].to_numpy(bool)
+        block, (i, j) = p["_block"].to_numpy(), key[-2:]
+        twice, rid = p["_twice"].to_numpy(bool), p["_rid"].to_numpy()
+        mask = (x @ x.T >= cosine) & (rid[:, None] != rid) & (home[:, None] | home)
+        mask &= ~((low[:, None] == low) & twice[:, None] & twice)
         if i != j:
-            mask &= own[:, None] != own
-        out = pd.DataFrame({"_rid": p["_rid"], "vec_id": ids, "n": mask.sum(axis=1), "root": _forest(mask, ids)})
+            mask &= block[:, None] != block
+        out = pd.DataFrame({"_rid": rid, "_low": low, "n": mask @ p["_weight"].to_numpy(), "root": _forest(mask, low)})
         return out[out["n"] > 0]
 
-    return dealt.groupBy("_label", "_dim", "_cell", "_i", "_j").applyInPandas(product, "_rid bigint, vec_id bigint, n bigint, root bigint")
+    return dealt.groupBy("_label", "_dim", "_cell", "_i", "_j").applyInPandas(product, "_rid bigint, _low bigint, n bigint, root bigint")
 
 
 def near_duplicates(rows: DataFrame, cosine: float = 0.98, label: str = "label") -> DataFrame:
@@ -144,9 +197,15 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, label: str = "label")
     """
     all_ = stored(rows.select(F.col("vec_id").cast("long").alias("vec_id"), label, "embedding").withColumn("_rid", F.monotonically_increasing_id()), "vectors")
     units = stored(unit_vectors(all_, label), "units")
-    links = stored(block_links(stored(cells(units, cosine), "cells"), cosine), "links")
-    counts = links.groupBy("_rid").agg(F.sum("n").alias("n_links"))
-    near = components(links.select(F.col("root").alias("a"), F.col("vec_id").alias("b")))
-    out = all_.select("_rid", "vec_id").join(counts, "_rid", "left").join(near, F.col("vec_id") == F.col("id"), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    keyed, single = collapsed(units)
+    reps = units.select("_rid", "unit").join(single.withColumnRenamed("_rep", "_rid"), "_rid").drop("_h0", "_h1", "_own")
+    links = stored(block_links(stored(cells(stored(reps, "different"), cosine), "cells"), cosine), "links")
+    counts = links.groupBy("_rid").agg(F.sum("n").alias("n"))
+    near = components(links.select(F.col("root").alias("a"), F.col("_low").alias("b")))
+    vertex = single.join(counts, F.col("_rep") == F.col("_rid"), "left").drop("_rid").join(near, F.col("_low") == F.col("id"), "left")
+    others = F.coalesce("n", F.lit(0)) + F.when(F.col("_twice"), 0).otherwise(F.col("_weight") - 1)
+    vertex = stored(vertex.select(*_KEY, "_weight", others.alias("n_links"), F.coalesce("component", "_low").alias("component_id")), "vertices")
+    of_rows = join_split(keyed.select("_rid", *_KEY), vertex, _KEY, "_weight").select("_rid", "n_links", "component_id")
+    out = all_.select("_rid", "vec_id").join(of_rows, "_rid", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -20,12 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.shared import stored, with_rank
+from lexispark.llm.shared import pieces, stored, with_rank
 
 _STOP = re.compile(r"(?<=[^\W\d_])(?=[!-/:-@\[-^{-~`]+(?:\s|\Z))")
 _tokenizers: dict[str, _WordIds] = {}
-#: Entries of the memo of word ids (about 200 bytes each).
-MEMO_IDS = 600_000
+#: Entries of the memo of word ids (about 200 bytes each), for the words of one task.
+MEMO_IDS = 150_000
 
 
 class _WordIds(dict):
@@ -92,7 +92,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
     end, width = int(end_id).to_bytes(4, "little"), 4 * capacity
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for doc, missing, text in zip(batch.doc_id, batch.doc_id.isna(), batch.text):
                 ids = text_bytes(text or "", path) + end
@@ -102,6 +102,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
                     rows.append(row + (np.frombuffer(part, "<i4"),) * keep_ids)
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])
             yield out.astype({"doc_id": "Int64"})
+        _word_ids(path).clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, schema)
 

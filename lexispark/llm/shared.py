@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from lexispark.session import scratch_path
 
 #: Entries that a worker's word memo holds before it starts anew (about 150 bytes each).
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
+#: Letters of text that a task turns into rows before it sends them on.
+PIECE = 1 << 21
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +56,37 @@ def with_rank(kept: DataFrame, by: str, rank: str) -> DataFrame:
     return rows.withColumn(rank, F.col("_row") + F.col("_base"))
 
 
+def join_split(rows: DataFrame, single: DataFrame, by: list[str], count: str, parts: int = 1024) -> DataFrame:
+    """``rows`` with the row of ``single`` (a stored table) that has the same ``by``.
+
+    ``single`` has one row a key, and in ``count`` how many of the rows have it. The rows of
+    a key that holds a ``parts``-th of all or more (there are ``parts`` of them at most) are
+    split into slices of that size, so that no task gets them all.
+    """
+    total = single.agg(F.sum(count)).first()[0] or 1
+    slices = F.ceil(F.col(count) * parts / total).cast("int")
+    hot = F.broadcast(single.where(F.col(count) * parts >= total).select(*by, slices.alias("_slices")))
+    dealt = rows.join(hot, by, "left").withColumn("_slice", F.when(F.col("_slices").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.col("_slices"))).otherwise(0).cast("int")).drop("_slices")
+    last = F.when(F.col(count) * parts >= total, slices - 1).otherwise(0)
+    return dealt.join(single.withColumn("_slice", F.explode(F.sequence(F.lit(0), last))), [*by, "_slice"]).drop("_slice")
+
+
+def pieces(batches: Iterator[pd.DataFrame], size: int = PIECE) -> Iterator[pd.DataFrame]:
+    """The rows of the batches, in slices of some ``size`` letters of ``text`` (a longer text
+    is a slice of its own). The word memo is emptied at the end, as the worker lives on."""
+    try:
+        for batch in batches:
+            ends = np.cumsum([len(t) if t else 0 for t in batch["text"]])
+            cuts = np.flatnonzero(np.diff(ends // size, prepend=0)) if len(ends) else []
+            for a, b in zip([0, *cuts], [*cuts, len(batch)]):
+                if a < b:
+                    yield batch.iloc[a:b]
+    finally:
+        _memo.clear()
+
+
 class WordMemo(dict):
-    """64-bit hash of each word of UTF-8 bytes, kept while the worker lives."""
+    """64-bit hash of each word of UTF-8 bytes, for the words of one task."""
 
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)

@@ -27,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.shared import BROADCAST_ROWS, if_small, stored
+from lexispark.llm.shared import BROADCAST_ROWS, if_small, join_split, pieces, stored
 
 LONG = 16
 TAIL = 8  # bytes of a tail's hash
 _SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s)\s*|[^\n]*\n\s*|[^\n]+\Z")
 _WORD = re.compile(r"\S+\s*")
+#: Letters of text whose spans a task holds.
+PIECE = 1 << 19
 #: Letters of scripts without blanks: Thai to Myanmar, Khmer, kana, bopomofo, Han.
 _LETTER = "\u0e00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _STOPS = "\u3002\uff01\uff1f\uff61"
@@ -127,7 +129,7 @@ def all_spans(docs: DataFrame, least: int, words: int) -> DataFrame:
     96 bits of the hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches, PIECE):
             first, last, hashes, tails, sizes = [], [], [], [], []
             for text in batch["text"]:
                 a, b, h, more = starts(text, least, words) if text else ([], [], [], [])
@@ -153,8 +155,8 @@ def repeated(docs: DataFrame, least: int, words: int) -> DataFrame:
 
     def with_first(found: DataFrame, by: list[str]) -> DataFrame:
         """The rows whose hash is not unique; ``again`` if they are not the first."""
-        first = found.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-        return found.join(first, by).withColumn("again", place != F.col("first")).drop("first")
+        first = stored(found.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1"), "firsts")
+        return join_split(found, first, by, "n").withColumn("again", place != F.col("first")).drop("first", "n")
 
     found = stored(with_first(stored(all_spans(docs, least, words), "spans"), ["h0", "h1"]), "repeats")
     each = F.expr(f"transform(sequence(1, cast(length(tails) / {TAIL} as int)), k -> struct(k as more, substring(tails, {TAIL} * (k - 1) + 1, {TAIL}) as tail))")
