@@ -1,29 +1,32 @@
 """Toxicity by logistic regression with FTRL-proximal over hashed word n-grams and skip-grams.
 
-Features of a text are the 64-bit hashes of its words, word pairs and pairs with one or two
-words between, and of the first four and five letters of its longer words, each once. FTRL-proximal keeps two numbers for each feature, from which its
-weight follows: a learning rate of its own, and weight 0 until the gradients add up to more
-than the L1 limit, so that few features have a weight at all.
+Features of a text are the 64-bit hashes of its words, word pairs, pairs with one or two
+words between, and of the first four and five letters of its longer words, each once.
+FTRL-proximal keeps two numbers for each feature, from which its weight follows: a learning
+rate of its own, and weight 0 until the gradients add up to more than the L1 limit, so that
+few features have a weight at all.
 
 The labelled rows it learns from are a sample of at most ``SAMPLE`` rows of each label. They
 are dealt to shards of some ``SHARD_BYTES`` of text; a shard goes through its rows in a task
 of its own, starting from the state that the shards of the round before agreed on (the mean,
-feature by feature, over the shards that have it). The state has one row for each feature
-that ``MIN_TEXTS`` texts of a shard share, so it is bounded by the sample; only its non-zero
-weights go to the scoring tasks.
+feature by feature, over the shards that have it). The state is a table with a row for each
+feature that ``MIN_TEXTS`` texts of a shard share, joined to the shards by feature; only its
+non-zero weights, which L1 keeps few and the sample bounds, go to the scoring tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.shared import mix, plain_words, stored, to_long, word_hashes
+from lexispark.llm.shared import MEMO_WORDS, mix, plain_words, stored, to_long, word_hashes
 
 #: Labelled rows of each label that are learned from.
 SAMPLE = 20_000
@@ -63,18 +66,31 @@ class Ftrl:
 BIAS = np.uint64(0)
 
 
+class Beginnings(dict):
+    """The hashes of the beginnings of a word, for the words of one task."""
+
+    def __missing__(self, word: bytes) -> list[int]:
+        letters = word.decode("utf-8", "surrogatepass")
+        begun = [f"{n}:{letters[:n]}" for n in BEGINNINGS if len(letters) > n]
+        self[word] = out = [xxhash.xxh3_64_intdigest(b.encode("utf-8", "surrogatepass")) for b in begun]
+        return out
+
+
+_beginnings = Beginnings()
+
+
 def features(text: str | None) -> np.ndarray:
-    """Hashes of all n-grams, skip-grams and beginnings of a whole text, each as often as it
-    occurs; first that of the bias, which every text has."""
+    """Hashes of the n-grams, skip-grams and beginnings of a whole text, in no order and
+    some of them more than once; first that of the bias, which every text has."""
     words = plain_words(text)
     h = word_hashes(words)
     found = [np.zeros(1, np.uint64), mix(h)]
     for k, gap in enumerate((0, *GAPS), 2):
         if len(h) > gap + 1:
             found.append(mix(mix(h[: -gap - 1] + np.uint64(k)) + h[gap + 1 :]))
-    for n in BEGINNINGS:
-        begun = [b[:n].encode("utf-8", "surrogatepass") for b in (w.decode("utf-8", "surrogatepass") for w in words if len(w) > n) if len(b) > n]
-        found.append(mix(word_hashes(begun) + np.uint64(16 + n)))
+    if len(_beginnings) > MEMO_WORDS:
+        _beginnings.clear()
+    found.append(np.array(list(chain.from_iterable(map(_beginnings.__getitem__, set(words)))), np.uint64))
     return np.concatenate(found)
 
 
@@ -95,29 +111,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def fit(rows: DataFrame, ftrl: Ftrl = Ftrl(), shard_bytes: int = SHARD_BYTES, min_texts: int = MIN_TEXTS) -> DataFrame:
     """(feature, z, n) learned from (doc_id, text, label)."""
-    spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     shards = int(size // shard_bytes) + 1
     dealt = rows.withColumn("order", F.xxhash64("doc_id")).withColumn("shard", F.pmod(F.col("order"), F.lit(shards)))
-    state = (np.empty(0, np.uint64), np.empty(0), np.empty(0))
-    for _ in range(ftrl.rounds):
-        start = spark.sparkContext.broadcast(state)
+    schema = "shard bigint, feature bigint, z double, n double"
+
+    def learn(shard: pd.DataFrame, start: pd.DataFrame | None = None) -> pd.DataFrame:
+        if not len(shard):
+            return pd.DataFrame({"shard": [], "feature": [], "z": [], "n": []})
+        shard = shard.sort_values(["order", "doc_id", "text"])
+        out = shard_state(shard["text"], shard["label"].to_numpy(), _sorted(start), ftrl, min_texts)
+        return out.assign(shard=shard["shard"].iloc[0])[["shard", "feature", "z", "n"]]
+
+    told = stored(dealt.groupBy("shard").applyInPandas(lambda shard: learn(shard), schema), "ftrl")
+    for _ in range(ftrl.rounds - 1):
+        start = told.select("shard", "feature").join(agreed(told), "feature")
+        told = stored(dealt.groupBy("shard").cogroup(start.groupBy("shard")).applyInPandas(learn, schema), "ftrl")
+    return stored(agreed(told), "ftrl_state")
 
-        def learn(shard: pd.DataFrame) -> pd.DataFrame:
-            shard = shard.sort_values(["order", "doc_id", "text"])
-            return shard_state(shard["text"], shard["label"].to_numpy(), start.value, ftrl, min_texts)
 
-        told = dealt.groupBy("shard").applyInPandas(learn, "feature bigint, z double, n double")
-        table = stored(told.groupBy("feature").agg(F.avg("z").alias("z"), F.avg("n").alias("n")), "ftrl")
-        state = _sorted(table)
-    return table
+def agreed(told: DataFrame) -> DataFrame:
+    return told.groupBy("feature").agg(F.avg("z").alias("z"), F.avg("n").alias("n"))
 
 
-def _sorted(state: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    got = state.toPandas()
-    f = got["feature"].to_numpy(np.int64).view(np.uint64)
+def _sorted(state: pd.DataFrame | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if state is None or not len(state):
+        return np.empty(0, np.uint64), np.empty(0), np.empty(0)
+    f = state["feature"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(f)
-    return f[order], got["z"].to_numpy()[order], got["n"].to_numpy()[order]
+    return f[order], state["z"].to_numpy()[order], state["n"].to_numpy()[order]
 
 
 def shard_state(texts, labels: np.ndarray, start: tuple, ftrl: Ftrl, min_texts: int) -> pd.DataFrame:
@@ -140,7 +162,8 @@ def shard_state(texts, labels: np.ndarray, start: tuple, ftrl: Ftrl, min_texts:
 
 def weights(state: DataFrame, ftrl: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray]:
     """(features, weights) other than 0, sorted by feature. L1 leaves few."""
-    f, z, n = _sorted(state.where(F.abs("z") > ftrl.l1))
+    rows = state.where(F.abs("z") > ftrl.l1).select("feature", "z", "n").collect()
+    f, z, n = _sorted(pd.DataFrame([tuple(r) for r in rows], columns=["feature", "z", "n"]))
     return f, ftrl.weights(z, n)
 
 
@@ -175,6 +198,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
         scorer = Scorer(*sent.value)
         for batch in texts:
             yield batch.map(scorer, na_action=None).astype("float64")
+        _beginnings.clear()
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), of_texts("text").alias("score"))
     return rows.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
