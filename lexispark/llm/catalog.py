@@ -144,14 +144,16 @@ def turn_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 _OP7_SQL = """
 WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, length(text) AS n, length(text) % 4 AS p FROM conversations),
-call AS (SELECT conv_id, 'c' || turn AS call_id, turn, CASE p WHEN 1 THEN 'measure' WHEN 2 THEN 'quote' ELSE 'search' END AS name,
+calls AS (SELECT conv_id, 'c' || turn AS call_id, turn, CASE p WHEN 1 THEN 'measure' WHEN 2 THEN 'quote' ELSE 'search' END AS name,
   CASE p WHEN 0 THEN '{"limit":' || n || ',"query":' || to_json(text) || '}'
     WHEN 1 THEN '{"exact":' || (n > 200)::VARCHAR || ',"ratio":' || CASE WHEN n % 8 = 0 THEN (n // 8)::VARCHAR ELSE (n / 8)::VARCHAR END || ',"text":' || to_json(text) || '}'
     WHEN 2 THEN '{"size":' || n || ',"source":' || to_json(role) || ',"text":' || to_json(text) || '}'
     ELSE '{"limit":"' || n || '","query":[' || to_json(role) || ',' || to_json(text) || ']}' END AS args,
   CASE p WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [] WHEN 2 THEN ['unknown:size'] ELSE ['type:limit', 'type:query'] END AS own,
-  CASE WHEN turn >= 2 THEN 'c' || (turn - 2) END AS after FROM t WHERE role = 'assistant'),
-res AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, turn, text AS content FROM t WHERE role = 'user' AND turn > 0),
+  CASE WHEN turn >= 2 THEN 'c' || (turn - 2) END AS after, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth FROM t WHERE role = 'assistant'),
+call AS (SELECT * EXCLUDE (nth) FROM calls WHERE nth = 1),
+results AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, turn, text AS content, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth FROM t WHERE role = 'user' AND turn > 0),
+res AS (SELECT * EXCLUDE (nth) FROM results WHERE nth = 1),
 d AS (SELECT c.conv_id, c.call_id, 0::BIGINT AS depth FROM call c LEFT JOIN call p ON p.conv_id = c.conv_id AND p.call_id = c.after WHERE p.call_id IS NULL
   UNION ALL SELECT c.conv_id, c.call_id, d.depth + 1 FROM d JOIN call c ON c.conv_id = d.conv_id AND c.after = d.call_id),
 x AS (SELECT c.*, d.depth, r.content, r.call_id IS NOT NULL AS has, CASE WHEN c.after IS NOT NULL AND d.depth = 0 THEN ['after:missing'] ELSE []::VARCHAR[] END || own AS errors
@@ -161,7 +163,13 @@ SELECT conv_id, call_id, turn, name, CASE WHEN has THEN 'linked' ELSE 'no_result
   || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS line FROM x
 UNION ALL
 SELECT conv_id, call_id, turn, NULL, 'orphan_result', NULL, NULL, NULL, '{"call_id":"' || call_id || '","conv_id":' || conv_id || ',"result":' || to_json(content) || '}'
-FROM res ANTI JOIN call USING (conv_id, call_id)"""
+FROM res ANTI JOIN call USING (conv_id, call_id)
+UNION ALL
+SELECT conv_id, call_id, turn, name, 'duplicate_call', NULL, false, ['duplicate:call_id'] || own, '{"after":' || coalesce('"' || after || '"', 'null') || ',"arguments":' || args || ',"call_id":"' || call_id || '","conv_id":' || conv_id || ',"name":"' || name || '","result":null}'
+FROM calls WHERE nth > 1
+UNION ALL
+SELECT conv_id, call_id, turn, NULL, 'duplicate_result', NULL, NULL, NULL, '{"call_id":"' || call_id || '","conv_id":' || conv_id || ',"result":' || to_json(content) || '}'
+FROM results WHERE nth > 1"""
 
 
 @register("op7_tool_call_linking", _OP7_SQL)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ from lexispark.session import scratch_path
 
 #: Entries that a worker's word memo holds before it starts anew (about 150 bytes each).
 MEMO_WORDS = 100_000
+#: Bytes of a batch that goes to a Python worker.
+BATCH = 8 << 20
 #: Letters of text that a task turns into rows before it sends them on.
 PIECE = 1 << 21
 
@@ -27,10 +32,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     that every executor sees, whatever executor is lost."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, Python tasks get batches of ``BATCH`` bytes at most: a batch
+    is held by the task's executor and by its Python worker, and more than once by either."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 #: Rows of a few numbers that are broadcast; with more, joins shuffle.
 BROADCAST_ROWS = 1 << 19
 
@@ -71,9 +90,18 @@ def join_split(rows: DataFrame, single: DataFrame, by: list[str], count: str, pa
     return dealt.join(single.withColumn("_slice", F.explode(F.sequence(F.lit(0), last))), [*by, "_slice"]).drop("_slice")
 
 
+def release() -> None:
+    """Give back what a task held: its worker lives on and waits beside those of the next stage."""
+    _memo.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batches: Iterator[pd.DataFrame], size: int = PIECE) -> Iterator[pd.DataFrame]:
     """The rows of the batches, in slices of some ``size`` letters of ``text`` (a longer text
-    is a slice of its own). The word memo is emptied at the end, as the worker lives on."""
+    is a slice of its own)."""
     try:
         for batch in batches:
             ends = np.cumsum([len(t) if t else 0 for t in batch["text"]])
@@ -82,7 +110,7 @@ def pieces(batches: Iterator[pd.DataFrame], size: int = PIECE) -> Iterator[pd.Da
                 if a < b:
                     yield batch.iloc[a:b]
     finally:
-        _memo.clear()
+        release()
 
 
 class WordMemo(dict):

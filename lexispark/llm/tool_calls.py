@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.shared import stored
+from lexispark.llm.shared import join_split, stored
 
 KEY = ["conv_id", "call_id"]
 
@@ -67,15 +67,29 @@ def argument_errors(args: Column, params: Column, required: Column) -> Column:
     return F.array_sort(F.concat(missing, unknown, wrong))
 
 
+def first_and_more(rows: DataFrame, fields: list[str], name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows, stored, with a number; the first of each key by ``fields``; and the others.
+    Rows without a whole key are in the first table only."""
+    rows = stored(rows.withColumn("_rid", F.monotonically_increasing_id()), name)
+    whole = rows.where(F.col(KEY[0]).isNotNull() & F.col(KEY[1]).isNotNull())
+    least = whole.groupBy(*KEY).agg(F.min(F.struct(*fields, "_rid")).alias("c"), F.count(F.lit(1)).alias("n"))
+    least = stored(least.select(*KEY, "c.*", "n"), f"first_{name}")
+    several = stored(least.where("n > 1").select(*KEY, F.col("_rid").alias("_first"), "n"), f"several_{name}")
+    more = join_split(whole, several, KEY, "n").where("_rid <> _first")
+    return rows.drop("_rid"), least.drop("_rid", "n"), more.select(*KEY, *fields)
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row per call, and one per result without call.
 
     ``calls``: conv_id, call_id, turn, name, arguments (JSON), after. ``results``: conv_id,
     call_id, turn, content. ``schemas``: name, param, type, required.
-    Returns conv_id, call_id, turn, name, status (linked, no_result, orphan_result), depth,
-    valid, errors, line. Sorting by (conv_id, depth, turn, call_id) is a topological order.
+    Returns conv_id, call_id, turn, name, status (linked, no_result, orphan_result,
+    duplicate_call, duplicate_result), depth, valid, errors, line. Sorting by (conv_id,
+    depth, turn, call_id) is a topological order.
 
-    Of calls with one id the first by turn counts, of results too. Rows without conv_id or
+    Of calls with one id the first by turn is linked, of results too; each further one is a
+    row of its own, a call with the error ``duplicate:call_id`` and no depth. Rows without conv_id or
     call_id are left out of the links: calls have no result, results are orphans. An
     ``after`` that names no call of the conversation is the error ``after:missing``; a cycle
     leaves depth null and is ``after:cycle``. Arguments that are no JSON object are
@@ -84,19 +98,18 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """
     fields = ["turn", "name", "arguments", "after"]
     whole = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    calls = calls.select(*KEY, *fields)
-    first = calls.where(whole).groupBy(*KEY).agg(F.min(F.struct(*fields)).alias("c")).select(*KEY, "c.*")
-    first = stored(first, "calls")
-    answer = results.where(whole).groupBy(*KEY).agg(F.min(F.struct("turn", "content")).alias("_r"))
-    answer = stored(answer, "results")
+    calls, first, more_calls = first_and_more(calls.select(*KEY, *fields), fields, "calls")
+    results, answer, more_results = first_and_more(results.select(*KEY, "turn", "content"), ["turn", "content"], "results")
+    answer = answer.select(*KEY, F.struct("turn", "content").alias("_r"))
     linked = first.join(answer, KEY, "left").join(depths(first), KEY, "left")
     linked = linked.unionByName(calls.where(~whole).withColumn("depth", F.lit(0).cast("long")), allowMissingColumns=True)
+    linked = linked.withColumn("_again", F.lit(False)).unionByName(more_calls.withColumn("_again", F.lit(True)), allowMissingColumns=True)
     known = first.select("conv_id", F.col("call_id").alias("after")).withColumn("_found", F.lit(True))
     linked = linked.join(known, ["conv_id", "after"], "left").join(schema_maps(schemas), "name", "left")
     linked = linked.withColumn("_v", F.try_parse_json("arguments"))
     linked = linked.withColumn("_args", F.when(F.schema_of_variant("_v").startswith("OBJECT"), F.col("_v").cast("map<string,variant>")))
     own = F.when(F.col("_params").isNull(), F.array(F.lit("name:unknown"))).when(F.col("_args").isNull(), F.array(F.lit("arguments:not an object"))).otherwise(argument_errors(F.col("_args"), F.col("_params"), F.col("_required")))
-    order = F.when(F.col("depth").isNull(), F.array(F.lit("after:cycle"))).when(F.col("after").isNotNull() & F.col("_found").isNull(), F.array(F.lit("after:missing"))).otherwise(F.array().cast("array<string>"))
+    order = F.when(F.col("_again"), F.array(F.lit("duplicate:call_id"))).when(F.col("depth").isNull(), F.array(F.lit("after:cycle"))).when(F.col("after").isNotNull() & F.col("_found").isNull(), F.array(F.lit("after:missing"))).otherwise(F.array().cast("array<string>"))
     linked = linked.withColumn("errors", F.concat(order, own))
     text = lambda c: F.coalesce(F.to_json(F.struct(F.col(c).alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("x")))) - 6), F.lit("null"))
     json_of = lambda c: F.when(F.col(c).isNull(), "null").otherwise(text(c))
@@ -106,8 +119,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
         F.lit('{"after":'), json_of("after"), F.lit(',"arguments":'), arguments, F.lit(',"call_id":'), json_of("call_id"), F.lit(',"conv_id":'), json_of("conv_id"),
         F.lit(',"name":'), json_of("name"), F.lit(',"result":'), json_of("_content"), F.lit("}"),
     )
-    status = F.when(F.col("_r").isNotNull(), "linked").otherwise("no_result")
+    status = F.when(F.col("_again"), "duplicate_call").when(F.col("_r").isNotNull(), "linked").otherwise("no_result")
     out = linked.select(*KEY, "turn", "name", status.alias("status"), "depth", (F.size("errors") == 0).alias("valid"), "errors", line.alias("line"))
     lone = answer.join(first.select(*KEY), KEY, "left_anti").select(*KEY, "_r.turn", "_r.content").unionByName(results.where(~whole).select(*KEY, "turn", "content"))
+    lone = lone.withColumn("status", F.lit("orphan_result")).unionByName(more_results.withColumn("status", F.lit("duplicate_result")))
     orphan = lone.withColumn("_content", F.col("content")).withColumn("line", F.concat(F.lit('{"call_id":'), json_of("call_id"), F.lit(',"conv_id":'), json_of("conv_id"), F.lit(',"result":'), json_of("_content"), F.lit("}")))
-    return out.unionByName(orphan.select(*KEY, "turn", F.lit("orphan_result").alias("status"), "line"), allowMissingColumns=True)
+    return out.unionByName(orphan.select(*KEY, "turn", "status", "line"), allowMissingColumns=True)

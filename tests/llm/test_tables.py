@@ -52,14 +52,16 @@ def linked(spark, calls, results):
 def test_tool_calls(spark):
     rows = linked(spark, CALLS, RESULTS).collect()
     got = {(r["conv_id"], r["call_id"], r["status"]): r for r in rows}
-    assert len(rows) == len(got) == 14
+    assert len(rows) == len(got) == 16
+    assert got[1, "a", "duplicate_call"]["errors"] == ["duplicate:call_id"] and json.loads(got[1, "a", "duplicate_call"]["line"])["result"] is None
+    assert got[1, "a", "duplicate_result"]["turn"] == 9 and json.loads(got[1, "a", "duplicate_result"]["line"])["result"] == "late"
     assert [(got[1, c, s]["depth"], got[1, c, s]["errors"]) for c, s in (("a", "linked"), ("b", "linked"), ("c", "no_result"), ("d", "no_result"), ("e", "no_result"), ("p", "no_result"), ("q", "no_result"), ("r", "no_result"))] == [
         (0, []), (1, ["type:b", "unknown:x"]), (2, []), (0, ["after:missing", "arguments:not an object"]), (3, ["name:unknown"]),
         (None, ["after:cycle"]), (None, ["after:cycle", "arguments:not an object"]), (None, ["after:cycle", "arguments:not an object"]),
     ]
     assert got[2, "a", "linked"]["errors"] == ["after:missing", "type:n"] and got[3, "s", "no_result"]["errors"] == ["after:cycle"]
     for r in rows:
-        if r["status"] == "orphan_result":
+        if r["status"] in ("orphan_result", "duplicate_result"):
             assert set(json.loads(r["line"])) == {"call_id", "conv_id", "result"}
             continue
         line = json.loads(r["line"])
@@ -69,6 +71,15 @@ def test_tool_calls(spark):
     assert {(r["conv_id"], r["call_id"]) for r in rows if r["status"] == "orphan_result"} == {(2, "b"), (None, "a")}
 
 
+def test_tool_calls_with_a_very_long_argument_and_many_copies(spark):
+    long = "ä\" " * 200_000
+    calls = [(1, "a", 1, "g", json.dumps({"z": long}), None)] + [(1, "b", 2, "f", '{"b": true}', "a")] * 300
+    rows = linked(spark, calls, [(1, "a", 2, long)] + [(1, "b", 5, "r")] * 40).collect()
+    assert Counter(r["status"] for r in rows) == {"linked": 2, "duplicate_call": 299, "duplicate_result": 39}
+    line = json.loads(next(r["line"] for r in rows if r["call_id"] == "a"))
+    assert line["arguments"]["z"] == line["result"] == long
+
+
 def test_tool_calls_of_a_long_chain_and_of_nothing(spark):
     calls = [(1, f"c{i}", i, "f", '{"b": true}', f"c{i - 1}" if i else None) for i in range(70)] + [(1, f"d{i}", i, "f", '{"b": true}', "c0") for i in range(50)]
     assert {r["call_id"]: r["depth"] for r in linked(spark, calls, []).collect()} == {**{f"c{i}": i for i in range(70)}, **{f"d{i}": 1 for i in range(50)}}
@@ -100,21 +111,52 @@ def test_shards_are_near_equal(spark, prose):
     assert kd_shards.shard(docs.limit(0), 8).collect() == []
 
 
+def sets_of(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
 def test_pipeline_stages(spark, documents, prose, tmp_path):
-    docs = documents.select("doc_id", "text", "lang", "source", "n_chars")
+    """Rows with shared and missing ids, and columns named like those that stages add."""
     leak = prose(4321, 40)
-    docs = docs.unionByName(spark.createDataFrame([(70, prose(70, 80) + " " + leak)], "doc_id bigint, text string"), allowMissingColumns=True)
+    own = [c for c in documents.columns if c not in ("n", "size")] + ["n", "size"]
+    docs = documents.select(own).withColumns({"score": documents.n * 0.5, "n_removed": documents.n, "_row": documents.tile, "lang_pred": documents.rejected, "held_out": documents.part, "_doc": documents.n, "_text": documents.n})
+    more = [(70, prose(70, 80) + " " + leak), (3, prose(500, 60)), (3, prose(501, 60)), (None, prose(77, 50)), (None, prose(502, 60)), (None, prose(502, 60)), (80, prose(503, 60) + " " + prose(504, 50)), (81, prose(505, 60) + " " + prose(504, 50))]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id bigint, text string"), allowMissingColumns=True)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    step, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, step, str(tmp_path))
-        out.write.parquet(f"{tmp_path}/{k}")
-        step = spark.read.parquet(f"{tmp_path}/{k}")
+    steps = [spark.read.parquet(f"{tmp_path}/documents.parquet")]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, steps[-1], str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        steps.append(spark.read.parquet(f"{tmp_path}/{k}"))
         if k < 4:
-            assert step.columns == docs.columns
-        seen.append({r["doc_id"] for r in step.select("doc_id").collect()})
-    assert {22, 23, 27, 29} & seen[0] == set() and {0, 20, 28} <= seen[0]
-    assert {20, 21} & seen[1] == set() and {0, 24, 26, 28} <= seen[1] and 25 not in seen[1]
-    assert 70 in seen[2] and 70 not in seen[3] and {0, 28} <= seen[3]
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == step.count()
+            assert steps[-1].columns == docs.columns
+    rows = [[tuple(r) for r in s.collect()] for s in steps]
+    at = docs.columns.index
+    ids = lambda rs: {r[at("doc_id")] for r in rs}
+    assert not Counter(rows[1]) - Counter(rows[0])  # language ID keeps rows as they are
+    assert {22, 23, 27, 29} & ids(rows[1]) == set() and {0, 20, 28, 80} <= ids(rows[1])
+
+    key = lambda r: (r[at("doc_id")] is None, r[at("doc_id")] or 0)
+    sets = [sets_of(r[at("text")]) for r in rows[1]]
+    root = list(range(len(sets)))
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                root = [min(root[a], root[b]) if c in (root[a], root[b]) else c for c in root]
+    groups = {}
+    for r, g in zip(rows[1], root):
+        groups.setdefault(g, []).append(r)
+    assert sorted(key(r) for r in rows[2]) == sorted(min(map(key, g)) for g in groups.values())
+    assert not Counter(rows[2]) - Counter(rows[1]) and all(sum(r in g for r in rows[2]) == 1 for g in groups.values())
+
+    before = {(r[at("doc_id")], r[at("lang")], r[at("n")]) for r in rows[2]}
+    assert {(r[at("doc_id")], r[at("lang")], r[at("n")]) for r in rows[3]} <= before
+    texts = {r[at("doc_id")]: r[at("text")] for r in rows[3]}
+    assert prose(504, 50) in texts[80] and prose(504, 50) not in texts[81] and texts[81].startswith(prose(505, 60))
+    for r in rows[3]:
+        assert r[at("n_chars")] in (None, len(r[at("text")]))
+    item = sets_of(leak.replace(".", ""))
+    leaks = lambda r: 100 * len(item & sets_of(r[at("text")].replace(".", ""))) >= 80 * len(item)
+    assert 70 in ids(rows[3]) and Counter(rows[4]) == Counter(r for r in rows[3] if not leaks(r))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(rows[5]) and ids(rows[4]) == {r["doc_id"] for r in steps[5].collect()}
