@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.operators.counts import sequence_high_water
-from lexispark.operators.skew import spread_row_number
-from lexispark.session import cut
+from lexispark.operators.skew import bucketed_lag, spread_row_number
+from lexispark.session import cut, kept
 
 # Parent pointers are followed by doubling: each round replaces "my parent" by "my
-# parent's parent", so a chain of depth d takes log2(d) rounds.  Every round is written to
-# the shared folder, which keeps the plan short and survives lost executors.
+# parent's parent", so a chain of depth d takes log2(d) rounds.  A round writes the rows
+# that are still open to the shared folder, which keeps the plan short and survives lost
+# executors; finished rows stay where they were written.
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _round(state: DataFrame) -> tuple[DataFrame, int]:
@@ -21,21 +27,77 @@ def _round(state: DataFrame) -> tuple[DataFrame, int]:
     return state, state.where("up IS NOT NULL").count()
 
 
+def follow(rows: DataFrame, sums: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """(key, end, ...) of every `key` whose pointers `next` lead to an end, a row without.
+
+    `sums` combines the other columns of a row with those of the rows after it, up to the
+    end.  Rows that lead to a missing key or into a cycle are left out: after as many steps
+    as there are rows, only what walks in cycles is still open.
+    """
+    names = list(sums)
+    done = [rows.where("next IS NULL").select("key", F.col("key").alias("end"), *names)]
+    open_ = rows.where("next IS NOT NULL").select("key", "next", *names)
+    null = lambda t: F.lit(None).cast(t)
+    kind, steps, left = dict(rows.dtypes)["key"], 1, open_.count()
+    most = left
+    while left and steps <= most:
+        hop = open_.withColumn("end", null(kind)).unionByName(_union(done).withColumn("next", null(kind)))
+        hop = hop.select(F.col("key").alias("next"), F.col("next").alias("_next"), F.col("end").alias("_end"), *[F.col(n).alias(f"_{n}") for n in names])
+        both = open_.join(hop, "next").select(
+            "key", F.col("_next").alias("next"), F.col("_end").alias("end"), *[f(F.col(n), F.col(f"_{n}")).alias(n) for n, f in sums.items()]
+        )
+        both, left = kept(both, F.col("next").isNotNull())
+        done.append(both.where("next IS NULL").select("key", "end", *names))
+        open_, steps = both.where("next IS NOT NULL").select("key", "next", *names), 2 * steps
+    return _union(done)
+
+
 def edit_base_paths(entr: DataFrame) -> DataFrame:
     """(root, path) for every unapproved entry: ids from the tree's root down to it.
 
     Entries on or below a cycle, or below a missing parent, have no root and no path.
     """
-    state, open_ = _round(
-        entr.select("id", "unap", F.array("id").alias("path"), F.col("dfrm").alias("up"))
+    rows = entr.select(F.col("id").alias("key"), F.col("dfrm").alias("next"), F.array("id").alias("path"), "unap")
+    paths = follow(rows, {"path": lambda own, above: F.concat(above, own), "unap": lambda own, above: own})
+    return paths.where("unap").select(F.col("end").alias("root"), "path")
+
+
+def edit_roots(entr: DataFrame) -> DataFrame:
+    """(id, root) of the entries that have a root."""
+    up = follow(entr.select(F.col("id").alias("key"), F.col("dfrm").alias("next")), {})
+    return up.select(F.col("key").alias("id"), F.col("end").alias("root"))
+
+
+def edit_tree(entr: DataFrame) -> DataFrame:
+    """(id, parent, root, depth, size, first, n_leafs, leaf_from, is_leaf) of the entries that
+    have a root: their places on a walk around their tree.
+
+    The walk enters an entry, goes around its edits in order of id, and leaves it. With
+    the sums of what comes after each step, an entry's subtree is an interval: `size` entries
+    from number `first` on, counted from the end of the walk. `n_leafs` is the number of
+    paths (of unapproved leafs) in it, `leaf_from` that of paths from there to the end:
+    of two entries with one path each, it is the same path if that number is the same.
+    """
+    add = {"n": lambda a, b: a + b}
+    up = follow(entr.select(F.col("id").alias("key"), F.col("dfrm").alias("next"), F.lit(1).cast("bigint").alias("n")), add)
+    node = entr.select("id", F.col("dfrm").alias("parent"), "unap").join(up.select(F.col("key").alias("id"), F.col("end").alias("root"), F.col("n").alias("depth")), "id")
+    node, _ = kept(node)
+    kids = bucketed_lag(node.where("parent IS NOT NULL").select("parent", "id"), ["parent"], "id", name="before")
+    ends = kids.groupBy("parent").agg(F.min("id").alias("_first"), F.max("id").alias("_last"))
+    enter, leave = (lambda c: F.col(c) * 2), (lambda c: F.col(c) * 2 + 1)
+    family = node.join(ends.withColumnRenamed("parent", "id"), "id", "left")
+    one = lambda cond: F.when(cond, 1).otherwise(0).cast("bigint")
+    leaf = F.col("_first").isNull() & F.col("unap")
+    down = family.select(enter("id").alias("key"), F.coalesce(enter("_first"), leave("id")).alias("next"), F.lit(1).cast("bigint").alias("n"), one(leaf).alias("m"))
+    after = kids.where("before IS NOT NULL").select(F.col("before").alias("id"), F.col("id").alias("_after"))
+    back = node.join(after, "id", "left").select(leave("id").alias("key"), F.coalesce(enter("_after"), leave("parent")).alias("next"), one(F.lit(False)).alias("n"), one(F.lit(False)).alias("m"))
+    walk, _ = kept(follow(kept(down.unionByName(back))[0], {"n": add["n"], "m": add["n"]}))
+    into = walk.where("key % 2 = 0").select((F.col("key") / 2).cast("bigint").alias("id"), "n", "m")
+    out = walk.where("key % 2 = 1").select(((F.col("key") - 1) / 2).cast("bigint").alias("id"), F.col("n").alias("_n"), F.col("m").alias("_m"))
+    return family.join(into, "id").join(out, "id").select(
+        "id", "parent", "root", "depth", (F.col("n") - F.col("_n")).alias("size"), F.col("n").alias("first"), (F.col("m") - F.col("_m")).alias("n_leafs"),
+        F.col("m").alias("leaf_from"), leaf.alias("is_leaf"),
     )
-    while open_:
-        above = state.select(F.col("id").alias("up"), F.col("path").alias("_p"), F.col("up").alias("_up"))
-        walk = state.where("up IS NOT NULL").join(above, "up")
-        walk = walk.select("id", "unap", F.concat("_p", "path").alias("path"), F.col("_up").alias("up"))
-        walk = walk.where(F.size(F.array_distinct("path")) == F.size("path"))
-        state, open_ = _round(state.where("up IS NULL").unionByName(walk))
-    return state.where("unap").select(F.element_at("path", 1).alias("root"), "path")
 
 
 def edit_paths(base: DataFrame, entr: DataFrame) -> DataFrame:
@@ -67,8 +129,45 @@ def edit_leafs(paths: DataFrame) -> DataFrame:
     return edit_places(paths).select("id", F.element_at("path", -1).alias("leaf"))
 
 
-def edit_positions(paths: DataFrame) -> DataFrame:
-    """E4 for all entries of all trees, one row each.
+def edit_positions(entr: DataFrame) -> DataFrame:
+    """E4 for all entries of all trees, one row each, from the tree's intervals.
+
+    n_leafs: paths through the entry; n_paths: paths of its tree; is_leaf; approvable: it
+    is the tree's only leaf.  Where only one path passes, `leaf` is its end and `tail_length`
+    what follows the entry on it.  A leaf has `segment_length`, the number of entries at the
+    end of its path that no other path shares, the first two of them as `segment_top` and
+    `segment_second`.  `edit_tails` gives the lists.
+    """
+    tree, _ = kept(edit_tree(entr).where("n_leafs > 0"))
+    leaf = tree.where("is_leaf").select("root", "leaf_from", F.col("id").alias("leaf"), F.col("depth").alias("_d"))
+    own = tree.where("n_leafs = 1").join(leaf, ["root", "leaf_from"]).select("id", "parent", "depth", "leaf", (F.col("_d") - F.col("depth")).alias("tail_length"))
+    own, _ = kept(own)
+    top = own.groupBy("leaf").agg(F.min_by("id", "depth").alias("segment_top"), F.count(F.lit(1)).alias("segment_length"))
+    second = own.select("leaf", F.col("parent").alias("segment_top"), F.col("id").alias("segment_second"))
+    seg = top.join(second, ["leaf", "segment_top"], "left").withColumnRenamed("leaf", "id")
+    paths = tree.where("parent IS NULL").select("root", F.col("n_leafs").alias("n_paths"))
+    out = tree.join(paths, "root").join(own.select("id", "leaf", "tail_length"), "id", "left").join(seg, "id", "left")
+    return out.select(
+        "id", "root", "parent", "depth", "n_leafs", "n_paths", "is_leaf", (F.col("is_leaf") & (F.col("n_paths") == 1)).alias("approvable"),
+        "leaf", "tail_length", "segment_length", "segment_top", "segment_second",
+    )
+
+
+def edit_tails(positions: DataFrame, ids: DataFrame) -> DataFrame:
+    """E4 lists of asked entries (id): `tail`, what follows an entry on its only path (null
+    if several paths pass, or none follows), and `segment` of a leaf."""
+    own = positions.where("leaf IS NOT NULL").select("leaf", "id", "depth")
+    asked = positions.join(ids.select("id").distinct(), "id", "left_semi")
+    wanted = asked.where("leaf IS NOT NULL").select("leaf").distinct()
+    lists = own.join(wanted, "leaf", "left_semi").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "id")))["id"].alias("_ids"))
+    out = asked.join(lists, "leaf", "left")
+    tail = F.expr("slice(_ids, size(_ids) - cast(tail_length as int) + 1, cast(tail_length as int))")
+    return out.select("id", F.when(F.col("tail_length") > 0, tail).alias("tail"), F.when(F.col("is_leaf"), F.col("_ids")).alias("segment"))
+
+
+def path_positions(paths: DataFrame) -> DataFrame:
+    """E4 for the members of some paths, one row each; a path is copied to each of its
+    members, so this is for the trees of a batch. `edit_positions` is for whole tables.
 
     n_leafs: paths through the entry; n_paths: paths of its tree; is_leaf; approvable: it
     is the tree's only leaf; tail: what follows it when only one path passes; segment: for

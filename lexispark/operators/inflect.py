@@ -1,8 +1,14 @@
-"""Inflection tables."""
+"""Inflection tables.
+
+Everything is built inside rows: an entry's readings, spellings and deny lists are arrays
+beside its parts of speech, the rules of a part of speech are arrays by conjugation. After
+the one join of allowed pairs with rules nothing is shuffled, whatever is asked for: all
+forms, their texts, or the table of a conjugation's four texts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,92 +19,124 @@ def conjugation_grid(conj: DataFrame, conjo: DataFrame, kwpos: DataFrame) -> Dat
     return conjo.join(c, "conj").join(p, "pos").select("pos", "ptxt", "conj", "ctxt", "neg", "fml")
 
 
-def _inflected(text, euph):
-    """Text without its stem letters, or one letter more and the changed sound, plus ending."""
-    cut = lambda n: F.substring(text, F.lit(1), F.greatest(F.length(text) - n, F.lit(0)))
-    return F.coalesce(F.concat(cut(F.col("stem") + 1), euph), cut(F.col("stem")))
+def _by_entry(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    return rows.groupBy("entr").agg(F.sort_array(F.collect_set(F.struct(*columns))).alias(name))
 
 
-def inflect(
-    entr: DataFrame, sens: DataFrame, pos: DataFrame, kwpos: DataFrame, rdng: DataFrame, kanj: DataFrame,
-    conj: DataFrame, conjo: DataFrame, conjo_notes: DataFrame,
-    restr: DataFrame, stagr: DataFrame, stagk: DataFrame,
+def allowed_pairs(
+    entr: DataFrame, sens: DataFrame, pos: DataFrame, rdng: DataFrame, kanj: DataFrame, restr: DataFrame, stagr: DataFrame, stagk: DataFrame
 ) -> DataFrame:
-    """Every inflected form of every allowed kanji/reading pair.
+    """(id, seq, src, unap, pos, knum, ktxt, rnum, rtxt): each reading with each spelling of
+    an entry, for every part of speech of a sense in which all three deny lists allow them.
 
-    Pairs are settled first, on (entry, sense) rows; the rule table is joined last, so the
-    deny lists see each pair once and not once per rule.
+    An entry without spellings, or without readings, has pairs with that side null. Each
+    table is aggregated by entry once; pairs are made and checked inside the entry's row.
     """
-    tag = conjo.where("okuri IS NOT NULL").select(F.col("pos").alias("kw")).distinct()
-    tagged = pos.select("entr", "sens", "kw").join(tag, "kw", "left_semi").join(
-        sens.select("entr", "sens"), ["entr", "sens"], "left_semi"
-    )
-    k = kanj.select("entr", F.col("kanj").alias("knum"), F.col("txt").alias("ktxt"))
-    r = rdng.select("entr", F.col("rdng").alias("rnum"), F.col("txt").alias("rtxt"))
-    u = tagged.join(k, "entr", "left").join(r, "entr", "left")
-    u = u.join(stagr.select("entr", "sens", F.col("rdng").alias("rnum")), ["entr", "sens", "rnum"], "left_anti")
-    u = u.join(stagk.select("entr", "sens", F.col("kanj").alias("knum")), ["entr", "sens", "knum"], "left_anti")
-    u = u.join(restr.select("entr", F.col("rdng").alias("rnum"), F.col("kanj").alias("knum")), ["entr", "rnum", "knum"], "left_anti")
-    u = u.select("entr", F.col("kw").alias("pos"), "knum", "ktxt", "rnum", "rtxt").distinct()
-    notes = conjo_notes.groupBy("pos", "conj", "neg", "fml", "onum").agg(F.sort_array(F.collect_list("note")).alias("notes"))
-    rules = (
-        conjo.where("okuri IS NOT NULL").select("pos", "conj", "neg", "fml", "onum", "stem", "okuri", "euphr", "euphk")
-        .join(conj.select(F.col("id").alias("conj"), F.col("name").alias("ctxt")), "conj")
-        .join(kwpos.select(F.col("id").alias("pos"), F.col("kw").alias("ptxt")), "pos")
-        .join(notes, ["pos", "conj", "neg", "fml", "onum"], "left")
-    )
-    head = entr.select(F.col("id").alias("entr"), "seq", "src", "unap")
-    out = u.join(head, "entr").join(rules, "pos")
+    senses = pos.select("entr", "sens", F.col("kw").alias("pos")).join(sens.select("entr", "sens"), ["entr", "sens"], "left_semi")
+    e = entr.select(F.col("id").alias("entr"), "seq", "src", "unap").join(_by_entry(senses, "tagged", "pos", "sens"), "entr")
+    sides = [(rdng, "r", "rdng"), (kanj, "k", "kanj")]
+    for table, name, ordinal in sides:
+        e = e.join(_by_entry(table.select("entr", F.col(ordinal).alias("num"), "txt"), name, "num", "txt"), "entr", "left")
+    for table, name, a, b in [(restr, "no_pair", "rdng", "kanj"), (stagr, "no_reading", "sens", "rdng"), (stagk, "no_kanji", "sens", "kanj")]:
+        e = e.join(_by_entry(table.select("entr", F.col(a).cast("int").alias("a"), F.col(b).cast("int").alias("b")), name, "a", "b"), "entr", "left")
+    denied = lambda name, a, b: F.exists(F.coalesce(name, F.array().cast("array<struct<a:int,b:int>>")), lambda x: (x["a"] == a) & (x["b"] == b))
+    one = lambda name, side: F.coalesce(name, F.array(F.lit(None).cast(dict(e.dtypes)[side][6:-1])))
+    pairs = F.flatten(F.transform(one("r", "r"), lambda r: F.transform(one("k", "k"), lambda k: F.struct(r.alias("r"), k.alias("k")))))
+    e = e.withColumn("pairs", F.filter(pairs, lambda p: ~F.coalesce(denied("no_pair", p["r"]["num"], p["k"]["num"]), F.lit(False))))
+    e = e.withColumn("pos", F.explode(F.array_distinct("tagged.pos")))
+    of_pos = F.transform(F.filter("tagged", lambda t: t["pos"] == F.col("pos")), lambda t: t["sens"])
+    may = lambda p, s: ~denied("no_reading", s, p["r"]["num"]) & ~denied("no_kanji", s, p["k"]["num"])
+    e = e.withColumn("in_senses", of_pos)
+    e = e.withColumn("pair", F.explode(F.filter("pairs", lambda p: F.exists("in_senses", lambda s: F.coalesce(may(p, s), F.lit(True))))))
+    return e.select(
+        F.col("entr").alias("id"), "seq", "src", "unap", "pos", F.col("pair.k.num").alias("knum"), F.col("pair.k.txt").alias("ktxt"),
+        F.col("pair.r.num").alias("rnum"), F.col("pair.r.txt").alias("rtxt"),
+    )
+
+
+def rules_of_pos(kwpos: DataFrame, conj: DataFrame, conjo: DataFrame, conjo_notes: DataFrame) -> DataFrame:
+    """(pos, ptxt, rules): a row per part of speech; for each conjugation its forms in order
+    of their number. Rules without an ending are left out."""
+    keys = ["pos", "conj", "neg", "fml", "onum"]
+    notes = conjo_notes.groupBy(*keys).agg(F.sort_array(F.collect_list("note")).alias("notes"))
+    rule = conjo.where("okuri IS NOT NULL").join(notes, keys, "left")
+    form = F.struct("onum", "neg", "fml", "stem", "okuri", "euphr", "euphk", "notes")
+    of_conj = rule.groupBy("pos", "conj").agg(F.sort_array(F.collect_list(form)).alias("forms"))
+    of_conj = of_conj.join(conj.select(F.col("id").alias("conj"), F.col("name").alias("ctxt")), "conj")
+    rules = of_conj.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("conj", "ctxt", "forms"))).alias("rules"))
+    return rules.join(kwpos.select(F.col("id").alias("pos"), F.col("kw").alias("ptxt")), "pos")
+
+
+def _inflected(text: Column, rule: Column, euph: Column) -> Column:
+    """Text without its stem letters, or one letter more and the changed sound, plus ending."""
+    cut = lambda n: F.substring(text, F.lit(1), F.greatest(F.length(text) - n, F.lit(0)))
+    return F.concat(F.coalesce(F.concat(cut(rule["stem"] + 1), euph), cut(rule["stem"])), rule["okuri"])
+
+
+def _form(rule: Column) -> Column:
     # A verb whose last letter but one is not hiragana is written with kanji to its end.
-    on_kanji = F.col("ktxt").rlike("[^あ-ん].$")
-    kitxt = F.when(on_kanji, _inflected(F.col("ktxt"), F.col("euphk"))).otherwise(
-        _inflected(F.col("ktxt"), F.col("euphr"))
-    )
-    t = F.concat(F.when(F.col("neg"), "neg").otherwise("aff"), F.lit("-"), F.when(F.col("fml"), "polite").otherwise("plain"))
-    return out.select(
-        F.col("entr").alias("id"), "seq", "src", "unap", "pos", "ptxt", "knum", "ktxt", "rnum", "rtxt",
-        "conj", "ctxt", "neg", "fml", t.alias("t"), "onum",
-        F.concat(kitxt, "okuri").alias("kitxt"),
-        F.concat(_inflected(F.col("rtxt"), F.col("euphr")), "okuri").alias("ritxt"), "notes",
-    )
+    sound = F.when(F.col("on_kanji"), rule["euphk"]).otherwise(rule["euphr"])
+    t = F.concat(F.when(rule["neg"], "neg").otherwise("aff"), F.lit("-"), F.when(rule["fml"], "polite").otherwise("plain"))
+    return F.struct(
+        rule["neg"].alias("neg"), rule["fml"].alias("fml"), t.alias("t"), rule["onum"].alias("onum"), _inflected(F.col("ktxt"), rule, sound).alias("kitxt"),
+        _inflected(F.col("rtxt"), rule, rule["euphr"]).alias("ritxt"), rule["notes"].alias("notes"),
+    )
 
 
-# A form's row is known by FORM_KEYS; the other columns of its table row follow from them.
+# What names a row of the table, and its columns.
 FORM_KEYS = ["id", "pos", "knum", "rnum", "conj"]
 FOLLOWING = ["seq", "src", "unap", "ptxt", "ktxt", "rtxt", "ctxt"]
 TEXT_KEYS = ["id", "seq", "src", "unap", "pos", "ptxt", "knum", "ktxt", "rnum", "rtxt", "conj", "ctxt"]
-JOINED = "listagg(_w, ',\\n') WITHIN GROUP (ORDER BY onum)"
+FORM = ["neg", "fml", "t", "onum", "kitxt", "ritxt", "notes"]
 
 
-def _words(inflections: DataFrame) -> DataFrame:
-    """Inflections with the text of each variant, `kanji【kana】 [notes]`."""
-    has_k, has_n = F.col("kitxt").isNotNull(), F.col("notes").isNotNull()
-    opt = lambda cond, s: F.when(cond, s).otherwise("")
-    word = F.concat(
-        F.coalesce("kitxt", F.lit("")), opt(has_k, "【"), F.coalesce("ritxt", F.lit("")), opt(has_k, "】"),
-        opt(has_n, " ["), F.coalesce(F.array_join("notes", ","), F.lit("")), opt(has_n, "]"),
-    )
-    return inflections.select(*FORM_KEYS, *FOLLOWING, "t", "onum", word.alias("_w"))
+def paradigms(
+    entr: DataFrame, sens: DataFrame, pos: DataFrame, kwpos: DataFrame, rdng: DataFrame, kanj: DataFrame,
+    conj: DataFrame, conjo: DataFrame, conjo_notes: DataFrame,
+    restr: DataFrame, stagr: DataFrame, stagk: DataFrame,
+) -> DataFrame:
+    """TEXT_KEYS and ``forms``: a row per allowed pair and conjugation, its forms an array."""
+    pairs = allowed_pairs(entr, sens, pos, rdng, kanj, restr, stagr, stagk)
+    rows = pairs.join(rules_of_pos(kwpos, conj, conjo, conjo_notes), "pos").withColumn("on_kanji", F.col("ktxt").rlike("[^あ-ん].$"))
+    rows = rows.withColumn("rule", F.explode("rules")).withColumns({"conj": F.col("rule.conj"), "ctxt": F.col("rule.ctxt")})
+    return rows.select(*TEXT_KEYS, F.transform("rule.forms", _form).alias("forms"))
 
 
-def inflection_text(inflections: DataFrame) -> DataFrame:
-    """Variants of a form in one text, each on its line."""
+def inflect(*tables: DataFrame) -> DataFrame:
+    """Every inflected form of every allowed kanji/reading pair; tables as of paradigms."""
+    return paradigms(*tables).select(*TEXT_KEYS, F.inline("forms")).select(*TEXT_KEYS[:10], "conj", "ctxt", *FORM)
+
+
+def _with_forms(inflections: DataFrame) -> DataFrame:
+    """Rows of inflect put together again; those of paradigms as they are."""
+    if "forms" in inflections.columns:
+        return inflections
     rest = [F.any_value(c).alias(c) for c in FOLLOWING]
-    out = _words(inflections).groupBy(*FORM_KEYS, "t").agg(*rest, F.expr(JOINED).alias("word"))
-    return out.select(*TEXT_KEYS, "t", "word")
+    return inflections.groupBy(*FORM_KEYS).agg(*rest, F.collect_list(F.struct(*FORM)).alias("forms"))
 
 
-def inflection_table(inflections: DataFrame) -> DataFrame:
-    """One row per conjugation: w0 plain, w1 polite, w2 negative, w3 negative polite.
+def _variants(t: Column | str) -> Column:
+    """The forms of one kind, `kanji【kana】 [notes]`, each on its line; null if there is none."""
+    some = F.array_sort(F.filter("forms", lambda f: f["t"] == t), lambda a, b: F.when(a["onum"] < b["onum"], -1).when(a["onum"] > b["onum"], 1).otherwise(0))
+    around = lambda text, *marks: F.concat(F.lit(marks[0]), text, F.lit(marks[1]))
+    word = lambda f: F.concat(
+        F.coalesce(F.concat(f["kitxt"], around(F.coalesce(f["ritxt"], F.lit("")), "【", "】")), f["ritxt"], F.lit("")),
+        F.coalesce(around(F.array_join(f["notes"], ","), " [", "]"), F.lit("")),
+    )
+    return F.when(F.size(some) > 0, F.array_join(F.transform(some, word), ",\n"))
 
-    The four texts come from one aggregation over short keys.
-    """
-    pick = lambda v, name: F.expr(f"{JOINED} FILTER (WHERE t = '{v}')").alias(name)
-    rest = [F.any_value(c).alias(c) for c in FOLLOWING]
-    out = _words(inflections).groupBy(*FORM_KEYS).agg(
-        *rest, pick("aff-plain", "w0"), pick("aff-polite", "w1"), pick("neg-plain", "w2"), pick("neg-polite", "w3")
-    )
-    return out.select(*TEXT_KEYS, "w0", "w1", "w2", "w3")
+
+def inflection_text(inflections: DataFrame) -> DataFrame:
+    """Variants of a form in one text, each on its line; from inflect or paradigms."""
+    rows = _with_forms(inflections).withColumn("t", F.explode(F.array_distinct("forms.t")))
+    return rows.select(*TEXT_KEYS, "t", _variants(F.col("t")).alias("word"))
+
+
+def inflection_table(inflections: DataFrame) -> DataFrame:
+    """One row per conjugation: w0 plain, w1 polite, w2 negative, w3 negative polite;
+    from the rows of inflect or of paradigms."""
+    kinds = {"w0": "aff-plain", "w1": "aff-polite", "w2": "neg-plain", "w3": "neg-polite"}
+    return _with_forms(inflections).select(*TEXT_KEYS, *[_variants(F.lit(t)).alias(w) for w, t in kinds.items()])
 
 
 def inflection_notes(kwpos: DataFrame, conjo: DataFrame, conjo_notes: DataFrame, conotes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexispark.functions.text import clean_control, strip_bom
 from lexispark.operators.compare import entry_changes
 from lexispark.operators.edits import (
-    CHILD_TABLES, append_history, assign_seq, cascade_delete, copy_freqs, edit_base_paths, edit_paths, edit_positions, new_ids,
+    CHILD_TABLES, append_history, assign_seq, cascade_delete, copy_freqs, descendants, edit_base_paths, edit_paths, edit_roots, new_ids, path_positions,
 )
 from lexispark.session import cut
 
@@ -16,16 +16,21 @@ ACTIVE, DELETED, REJECTED = 2, 4, 6
 CONTENT = [t for t in CHILD_TABLES if t != "hist"]
 
 
-def judge_submissions(subs: DataFrame, tables: dict[str, DataFrame], content: dict[str, DataFrame], allow_forks: bool = True) -> DataFrame:
+def _all_entries(entr: DataFrame, others: DataFrame | None) -> DataFrame:
+    return entr if others is None else entr.unionByName(others.select(*entr.columns))
+
+
+def judge_submissions(subs: DataFrame, tables: dict[str, DataFrame], content: dict[str, DataFrame], allow_forks: bool = True, others: DataFrame | None = None) -> DataFrame:
     """E5 decision: submissions with `error` (null when accepted) and what to remove.
 
     `subs`: sid, parent (null for a new entry), disp ('' edit, 'a' approve, 'r' reject), stat, src, seq,
     editor, and the history columns.  Adds root, drop_id (entry whose subtree goes) and
     `deferred`: of the submissions to one edit tree, or to one new (src, seq), only the one with the
-    lowest sid is judged now; the others belong to the next batch.
+    lowest sid is judged now; the others belong to the next batch. `others` are entries of
+    trees that no submission names, where `tables` has only those of the named ones.
     """
     entr = tables["entr"]
-    pos = edit_positions(edit_paths(edit_base_paths(entr), entr))
+    pos = path_positions(edit_paths(edit_base_paths(entr), entr))
     parent = entr.select(
         F.col("id").alias("parent"), F.col("stat").alias("_pstat"), F.col("unap").alias("_punap"),
         F.col("src").alias("_psrc"), F.col("seq").alias("_pseq"),
@@ -54,7 +59,7 @@ def judge_submissions(subs: DataFrame, tables: dict[str, DataFrame], content: di
         s = s.join(has, "sid", "left")
     else:
         s = s.withColumn("_unres", F.lit(False))
-    live = entr.where("stat = 2 AND NOT unap").select("src", "seq", F.col("id").alias("_live"))
+    live = _all_entries(entr, others).where("stat = 2 AND NOT unap").select("src", "seq", F.col("id").alias("_live"))
     # At most one active approved entry per number outside the tree matters.
     live = live.groupBy("src", "seq").agg(F.min("_live").alias("_l1"), F.max("_live").alias("_l2"))
     s = s.join(live, ["src", "seq"], "left")
@@ -92,7 +97,7 @@ def judge_submissions(subs: DataFrame, tables: dict[str, DataFrame], content: di
 
 
 def apply_submissions(
-    tables: dict[str, DataFrame], subs: DataFrame, content: dict[str, DataFrame], allow_forks: bool = True
+    tables: dict[str, DataFrame], subs: DataFrame, content: dict[str, DataFrame], allow_forks: bool = True, others: DataFrame | None = None
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """E5: (new tables, outcomes) of one batch.
 
@@ -104,9 +109,9 @@ def apply_submissions(
     Outcomes: sid, outcome (added, deferred or an error), id, seq.
     """
     entr = tables["entr"]
-    v = cut(judge_submissions(subs, tables, content, allow_forks))
+    v = cut(judge_submissions(subs, tables, content, allow_forks, others))
     good = v.where("error IS NULL AND NOT deferred")
-    top = entr.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    top = _all_entries(entr, others).agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     ids = cut(new_ids(good.select(F.col("sid").alias("id")), top)).withColumnRenamed("id", "sid").withColumnRenamed("new", "id")
     good = good.join(ids, "sid")
     edit = F.col("disp") == ""
@@ -116,7 +121,7 @@ def apply_submissions(
         F.col("seq").cast("bigint").alias("seq"), F.when(edit, F.col("parent")).cast("bigint").alias("dfrm"), edit.alias("unap"),
         col("srcnote", "srcnote"), col("enotes", "notes"), F.lit(None).cast("bigint").alias("idx"),
     )
-    added = cut(assign_seq(added, entr, tables["kwsrc"]) if "kwsrc" in tables else added)
+    added = cut(assign_seq(added, _all_entries(entr, others), tables["kwsrc"]) if "kwsrc" in tables else added)
     keep = cascade_delete(tables, good.where("drop_id IS NOT NULL").select(F.col("drop_id").alias("id")))
     new: dict[str, DataFrame] = {}
     from_parent = good.where(F.col("stat") == DELETED).select("id", "parent")
@@ -175,18 +180,33 @@ def apply_in_rounds(
 
     Submissions to one tree are applied in the order of sid, each to what the ones before
     it have left.  A round takes one per tree, so there are as many rounds as the busiest
-    tree has submissions; each round's tables are written before the next.
+    tree has submissions.  Rounds carry the trees that submissions name and nothing else;
+    all other rows are taken over once, at the end, as they were.
     """
-    settled = None
+    entr = tables["entr"]
+    roots = edit_roots(entr).join(subs.select(F.col("parent").alias("id")), "id", "left_semi").select("root").distinct()
+    mine = cut(descendants(entr, roots.select(F.col("root").alias("id")).unionByName(subs.where("parent IS NOT NULL").select(F.col("parent").alias("id")))))
+    by = {name: "id" if name == "entr" else "entr" for name in tables if name == "entr" or name in CHILD_TABLES}
+    part = lambda name, how: tables[name].join(mine.withColumnRenamed("id", by[name]), by[name], how).select(*tables[name].columns)
+    others = part("entr", "left_anti")
+    state, settled = {name: cut(part(name, "left_semi")) if name in by else df for name, df in tables.items()}, None
     while True:
-        tables, outcome = apply_submissions(tables, subs, content, allow_forks)
+        state, outcome = apply_submissions(state, subs, content, allow_forks, others)
         outcome = cut(outcome)
         done = outcome.where("outcome <> 'deferred'")
         settled = done if settled is None else settled.unionByName(done)
+        state = {name: cut(df) if name in by else df for name, df in state.items()}
         left = outcome.where("outcome = 'deferred'").select("sid")
         if left.isEmpty():
-            return tables, settled
-        tables = {name: cut(df) for name, df in tables.items()}
+            break
         subs = cut(subs.join(left, "sid", "left_semi"))
-        mine = left.withColumnRenamed("sid", "entr")
-        content = {name: df.join(mine, "entr", "left_semi").select(*df.columns) for name, df in content.items()}
+        still = left.withColumnRenamed("sid", "entr")
+        content = {name: df.join(still, "entr", "left_semi").select(*df.columns) for name, df in content.items()}
+    gone = mine.join(state["entr"].select("id"), "id", "left_anti")
+    out = dict(tables)
+    for name in by:
+        rest = part(name, "left_anti")
+        if name == "xref":
+            rest = rest.join(gone.withColumnRenamed("id", "xentr"), "xentr", "left_anti").select(*tables[name].columns)
+        out[name] = rest.unionByName(state[name], allowMissingColumns=True)
+    return out, settled

@@ -35,9 +35,9 @@ BRIDGE_SQL: dict[str, str] = {
     "xresolv": """SELECT DISTINCT l_orderkey AS entr, l_linenumber AS sens, 3 AS typ, l_partkey AS ord, CASE WHEN l_orderkey % 3 <> 2 THEN CASE WHEN l_partkey % 11 = 0 THEN 'nosuch' ELSE p_name || ' ' || p_brand END END AS rtxt, CASE WHEN l_orderkey % 3 <> 1 THEN p_name || ' ' || p_brand || ' ' || p_type END AS ktxt, CASE WHEN l_linenumber = 2 THEN 3 END AS tsens, CASE WHEN l_linenumber = 3 THEN true WHEN l_linenumber = 4 THEN false END AS prio FROM lineitem JOIN part ON p_partkey = l_partkey""",
     "kwpos": """SELECT CAST(row_number() OVER (ORDER BY p_type) AS INT) AS id, p_type AS kw FROM (SELECT DISTINCT p_type FROM part) x""",
     "pos": """SELECT entr, sens, CAST(row_number() OVER (PARTITION BY entr, sens ORDER BY kw) AS INT) AS ord, kw FROM (SELECT DISTINCT s.entr, s.sens, k.id AS kw FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN kwpos k ON k.kw = p.p_type JOIN sens s ON s.entr = l.l_orderkey AND s.l_linenumber = l.l_linenumber WHERE p.p_size % 5 <> 0) x""",
-    "xref": """SELECT DISTINCT s.entr, s.sens, CAST(2 + l.l_suppkey % 2 AS INT) AS typ, t.entr AS xentr, t.sens AS xsens, (l.l_returnflag = 'R') AS lowpri, (t.sens > 1 AND l.l_returnflag = 'A') AS nosens FROM lineitem l JOIN sens s ON s.entr = l.l_orderkey AND s.l_linenumber = l.l_linenumber JOIN sens t ON t.entr = l.l_partkey AND t.sens <= 2 WHERE l.l_orderkey <> l.l_partkey AND l.l_orderkey < 2000""",
-    "kwgrp": """SELECT n_nationkey AS id, n_name AS kw FROM nation""",
-    "grp": """SELECT o_orderkey AS entr, c_nationkey AS kw, CAST(1 + o_orderkey % 3 AS INT) AS ord FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 10 = 0 AND c_nationkey < 20""",
+    "xref": """SELECT DISTINCT s.entr, s.sens, CAST(2 + l.l_suppkey % 2 AS INT) AS typ, t.entr AS xentr, t.sens AS xsens, (l.l_returnflag = 'R') AS lowpri, (t.sens > 1 AND l.l_returnflag = 'A') AS nosens FROM lineitem l JOIN sens s ON s.entr = l.l_orderkey AND s.l_linenumber = l.l_linenumber JOIN sens t ON t.entr = l.l_partkey AND t.sens <= 2 WHERE l.l_orderkey <> l.l_partkey""",
+    "kwgrp": """SELECT n_nationkey AS id, n_name AS kw FROM nation UNION ALL SELECT 100 + r_regionkey, r_name FROM region""",
+    "grp": """SELECT o_orderkey AS entr, c_nationkey AS kw, CAST(1 + o_orderkey % 3 AS INT) AS ord FROM orders JOIN customer ON c_custkey = o_custkey""",
     # Further tables for operators the first twenty do not reach.
     "stagk": """SELECT s.entr, s.sens, k.kanj FROM sens s JOIN kanj k ON k.entr = s.entr WHERE (s.entr + s.sens + k.kanj) % 5 = 0""",
     "kwginf": """SELECT 1 AS id, 'equ' AS kw UNION ALL SELECT 2, 'lit' UNION ALL SELECT 3, 'fig' UNION ALL SELECT 4, 'expl' UNION ALL SELECT 5, 'tm'""",
@@ -48,14 +48,14 @@ BRIDGE_SQL: dict[str, str] = {
     "kinf": """SELECT j.entr, j.kanj, CAST(1 + (k.id + j.kanj) % 5 AS INT) AS ord, k.id AS kw FROM kanj j JOIN kwkinf k ON (j.entr + j.kanj + k.id) % 4 = 0""",
     "rinf": """SELECT j.entr, j.rdng, CAST(1 + (k.id + j.rdng) % 5 AS INT) AS ord, k.id AS kw FROM rdng j JOIN kwkinf k ON (j.entr + j.rdng + k.id) % 4 = 1""",
     "texts": """SELECT 'd' || CAST(doc_id AS STRING) AS tid, text AS txt FROM documents UNION ALL SELECT 'p' || CAST(page_id AS STRING), html FROM pages UNION ALL SELECT 'c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING), text FROM conversations""",
-    "label": """SELECT user_id AS file, event_id AS lab, CAST(event_id % 977 * 10 AS BIGINT) AS strt, CAST(event_id % 977 * 10 + 5 + event_id % 40 AS BIGINT) AS stop, props AS trns FROM events WHERE event_type = 'click' AND event_id % 3 <> 0""",
+    "label": """SELECT user_id AS file, event_id AS lab, CAST(event_id % 977 * 10 AS BIGINT) AS strt, CAST(event_id % 977 * 10 + 5 + event_id % 40 AS BIGINT) AS stop, props AS trns FROM events WHERE event_type = 'click'""",
     "clip": """SELECT user_id AS file, event_id AS id, CAST(event_id % 983 * 10 AS BIGINT) AS strt, CAST(5 + event_id % 60 AS BIGINT) AS leng, props AS trns FROM events WHERE event_type = 'view'""",
     "sndvol": """SELECT n_nationkey AS id, n_name AS loc, CAST(1 + n_nationkey % 2 AS INT) AS type FROM nation""",
     "sndfile": """SELECT s_suppkey AS id, s_nationkey AS vol, s_name AS loc FROM supplier""",
     "snd": """SELECT p_partkey AS id, CAST(p_partkey % 100 AS BIGINT) AS file, CAST(p_size * 100 AS BIGINT) AS strt, CAST(p_size AS BIGINT) AS leng, p_name AS trns FROM part""",
     "rdngsnd": """SELECT entr, rdng, CAST(1 AS INT) AS ord, CAST((entr + rdng) % 200 AS BIGINT) AS snd FROM rdng WHERE (entr + rdng) % 4 = 0""",
-    "conj": """SELECT CAST(1 + n_nationkey AS INT) AS id, 'conj ' || n_name AS name FROM nation WHERE n_nationkey < 2""",
-    "conjo": """SELECT k.id AS pos, c.id AS conj, (b.b % 2 = 1) AS neg, (b.b >= 2) AS fml, CAST(1 + (k.id + b.b) % 2 AS INT) AS onum, CAST(1 + (k.id + c.id) % 2 AS INT) AS stem, CASE WHEN (k.id + c.id + b.b) % 7 = 0 THEN NULL ELSE 'oku' || CAST(b.b AS STRING) END AS okuri, CASE WHEN c.id % 2 = 0 THEN 'r' END AS euphr, CASE WHEN k.id % 3 = 0 THEN 'k' END AS euphk FROM kwpos k JOIN conj c ON 1 = 1 JOIN (SELECT 0 AS b UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) b ON 1 = 1""",
+    "conj": """SELECT CAST(1 + r_regionkey AS INT) AS id, 'conj ' || r_name AS name FROM region""",
+    "conjo": """SELECT k.id AS pos, c.id AS conj, (b.b % 2 = 1) AS neg, (b.b >= 2) AS fml, CAST(1 + (k.id + b.b) % 2 AS INT) AS onum, CAST(1 + (k.id + c.id) % 2 AS INT) AS stem, CASE WHEN (k.id + c.id + b.b) % 7 = 0 THEN NULL ELSE 'oku' || CAST(b.b AS STRING) END AS okuri, CASE WHEN c.id % 2 = 0 THEN 'r' END AS euphr, CASE WHEN k.id % 3 = 0 THEN 'k' END AS euphk FROM kwpos k JOIN conj c ON 1 = 1 JOIN (SELECT 0 AS b UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) b ON 1 = 1 WHERE k.kw NOT LIKE 'SMALL%'""",
     "conotes": """SELECT 1 AS id, 'first note' AS txt UNION ALL SELECT 2, 'second note' UNION ALL SELECT 3, 'third note'""",
     "conjo_notes": """SELECT o.pos, o.conj, o.neg, o.fml, o.onum, n.id AS note FROM conjo o JOIN conotes n ON (o.pos + o.conj + n.id) % 4 = 0""",
 }

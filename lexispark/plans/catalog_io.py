@@ -242,7 +242,7 @@ def s6(b):
 def s7(b):
     base = {"entr": b.entr.select("id", "src", "stat", "seq", "unap", "dfrm", F.lit(None).cast("bigint").alias("idx")), "kwsrc": b.kwsrc, "rdng": b.rdng}
     e = b.t_entr.select("id", "src", "stat", F.col("id").alias("seq"), "unap", F.when(F.col("id") % 5 == 1, 7000 + F.col("id") - 1).alias("dfrm"), (F.col("id") + 7000).alias("idx"))
-    stage = {"entr": e, "rdng": b.t_rdng, "kwsrc": b.kwsrc.where("id < 2").withColumn("kw", F.concat(F.lit("new "), "kw"))}
+    stage = {"entr": e, "rdng": b.t_rdng, "kwsrc": b.kwsrc.withColumn("kw", F.concat(F.lit("new "), "kw"))}
     return importer.import_corpus(stage, base)["entr"].select("id", "src", "dfrm")
 
 
@@ -355,11 +355,11 @@ def e9(b):
     return content["gloss"].select("entr", "sens", "gloss", "txt")
 
 
-@query("e5_rounds", "SELECT 2 * e.id + n AS sid, 'added' AS outcome FROM entr e, (VALUES (0), (1), (2)) t(n) WHERE e.stat = 2 AND e.dfrm IS NULL AND NOT EXISTS (SELECT 1 FROM entr c WHERE c.dfrm = e.id) AND (n < 2 AND e.id % 2 = 0)")
+@query("e5_rounds", "SELECT 2 * e.id + n AS sid, 'added' AS outcome FROM entr e, (VALUES (0), (1), (2)) t(n) WHERE e.stat = 2 AND e.dfrm IS NULL AND NOT EXISTS (SELECT 1 FROM entr c WHERE c.dfrm = e.id) AND n < 2")
 def e5_rounds(b):
-    """Two edits of each single even entry: the second is settled in a second round."""
+    """Two edits of each single entry: the second is settled in a second round."""
     e = _tables(b, "entr")["entr"]
-    lone = e.where("stat = 2 AND dfrm IS NULL AND id % 2 = 0").join(e.where("dfrm IS NOT NULL").select(F.col("dfrm").alias("id")), "id", "left_anti")
+    lone = e.where("stat = 2 AND dfrm IS NULL").join(e.where("dfrm IS NOT NULL").select(F.col("dfrm").alias("id")), "id", "left_anti")
     subs = lone.select(
         F.explode(F.array(2 * F.col("id"), 2 * F.col("id") + 1)).alias("sid"), F.col("id").alias("parent"), F.lit("").alias("disp"), F.lit(2).alias("stat"), "src", "seq",
         F.lit(True).alias("editor"), F.lit("x").alias("name"), F.lit("y").alias("notes"),

@@ -6,7 +6,8 @@ import hashlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 
@@ -61,6 +62,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame, counted: Column | None = None) -> tuple[DataFrame, int]:
+    """Like `cut`, as a table of the shared folder, in one job; and the number of rows that
+    meet a condition (of all rows without one)."""
+    spark, path, seen = df.sparkSession, scratch_path(df.sparkSession, "kept"), Observation()
+    n = F.count_if(counted) if counted is not None else F.count(F.lit(1))
+    df.observe(seen, n.alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)

@@ -303,13 +303,33 @@ def test_edit_trees(rows):
     three = edits.entry_edit_paths(paths, rows("id BIGINT", (3,), (6,)))
     assert sorted((r.id, list(r.path)) for r in three.collect()) == [(3, [1, 2, 3]), (3, [1, 2, 4, 5])]
     assert tuples(edits.edit_leafs(paths)) == [(1, 3), (1, 5), (2, 3), (2, 5), (3, 3), (4, 5), (5, 5), (6, 6)]
-    pos = {r.id: r for r in edits.edit_positions(paths).collect()}
-    assert [pos[i].tail for i in (1, 2, 3, 4, 5)] == [None, None, None, [5], None]
-    assert pos[5].segment == [4, 5] and pos[3].segment == [3] and pos[4].segment is None and pos[6].segment == [6]
+    where = edits.edit_positions(e)
+    pos = {r.id: r for r in where.collect()}
+    lists = {r.id: r for r in edits.edit_tails(where, e).collect()}
+    assert [lists[i].tail for i in (1, 2, 3, 4, 5)] == [None, None, None, [5], None]
+    assert lists[5].segment == [4, 5] and lists[3].segment == [3] and lists[4].segment is None and lists[6].segment == [6]
+    assert [(i, pos[i].n_leafs, pos[i].n_paths) for i in sorted(pos)] == [(1, 2, 2), (2, 2, 2), (3, 1, 2), (4, 1, 2), (5, 1, 2), (6, 1, 1)]
+    assert [(pos[i].leaf, pos[i].tail_length, pos[i].segment_length, pos[i].segment_top, pos[i].segment_second) for i in (4, 5, 6)] == [(5, 1, None, None, None), (5, 0, 2, 4, 5), (6, 0, 1, 6, None)]
+    tree = {r.id: r for r in edits.edit_tree(e).collect()}
+    assert {i: (t.root, t.depth, t["size"]) for i, t in tree.items()} == {1: (1, 1, 5), 2: (1, 2, 4), 3: (1, 3, 1), 4: (1, 3, 2), 5: (1, 4, 1), 6: (6, 1, 1), 7: (7, 1, 1)}
     assert [i for i in pos if pos[i].approvable] == [6]
     assert tuples(edits.descendants(e, rows("id BIGINT", (2,), (8,)))) == [(2,), (3,), (4,), (5,), (8,), (9,)]
 
 
+def test_edit_positions_of_a_deep_chain_and_a_wide_entry(spark, rows):
+    n, wide = 10_000, 3_000
+    chain = spark.range(1, n + 1).selectExpr("id", "if(id > 1, id - 1, null) AS dfrm", "id > 1 AS unap")
+    fan = spark.range(n + 2, n + 2 + wide).selectExpr("id", f"CAST({n + 1} AS BIGINT) AS dfrm", "true AS unap")
+    top = rows("id BIGINT, dfrm BIGINT, unap BOOLEAN", (n + 1, None, False))
+    at = edits.edit_positions(chain.unionByName(fan).unionByName(top)).cache()
+    assert at.count() == n + wide + 1
+    assert at.where(f"id <= {n} AND root = 1 AND n_leafs = 1 AND leaf = {n} AND tail_length = {n} - id AND depth = id").count() == n
+    assert tuples(at.where(f"id = {n}"), "segment_length", "segment_top", "segment_second", "approvable") == [(n, 1, 2, True)]
+    assert at.where(f"id > {n + 1} AND n_paths = {wide} AND segment_length = 1 AND segment_top = id AND NOT approvable").count() == wide
+    assert list(edits.edit_tails(at, rows("id BIGINT", (n - 2,))).first().tail) == [n - 1, n]
+    at.unpersist()
+
+
 def test_history_and_freq(rows):
     h = rows("entr BIGINT, hist INT, stat INT, unap BOOLEAN, dt TIMESTAMP_NTZ, name STRING, notes STRING, eid BIGINT",
              (1, 1, 2, False, dt.datetime(2020, 1, 1), "a", None, None), (1, 2, 2, False, dt.datetime(2020, 1, 2), "b", "n", 1))
