@@ -55,7 +55,7 @@ BRIDGE_SQL: dict[str, str] = {
     "snd": """SELECT p_partkey AS id, CAST(p_partkey % 100 AS BIGINT) AS file, CAST(p_size * 100 AS BIGINT) AS strt, CAST(p_size AS BIGINT) AS leng, p_name AS trns FROM part""",
     "rdngsnd": """SELECT entr, rdng, CAST(1 AS INT) AS ord, CAST((entr + rdng) % 200 AS BIGINT) AS snd FROM rdng WHERE (entr + rdng) % 4 = 0""",
     "conj": """SELECT CAST(1 + r_regionkey AS INT) AS id, 'conj ' || r_name AS name FROM region""",
-    "conjo": """SELECT k.id AS pos, c.id AS conj, (b.b % 2 = 1) AS neg, (b.b >= 2) AS fml, CAST(1 + (k.id + b.b) % 2 AS INT) AS onum, CAST(1 + (k.id + c.id) % 2 AS INT) AS stem, CASE WHEN (k.id + c.id + b.b) % 7 = 0 THEN NULL ELSE 'oku' || CAST(b.b AS STRING) END AS okuri, CASE WHEN c.id % 2 = 0 THEN 'r' END AS euphr, CASE WHEN k.id % 3 = 0 THEN 'k' END AS euphk FROM kwpos k JOIN conj c ON 1 = 1 JOIN (SELECT 0 AS b UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) b ON 1 = 1 WHERE k.kw NOT LIKE 'SMALL%'""",
+    "conjo": """SELECT k.id AS pos, c.id AS conj, (b.b % 2 = 1) AS neg, (b.b >= 2) AS fml, CAST(1 + (k.id + b.b) % 2 AS INT) AS onum, CAST(1 + (k.id + c.id) % 2 AS INT) AS stem, CASE WHEN (k.id + c.id + b.b) % 7 = 0 THEN NULL ELSE 'oku' || CAST(b.b AS STRING) END AS okuri, CASE WHEN c.id % 2 = 0 THEN 'r' END AS euphr, CASE WHEN k.id % 3 = 0 THEN 'k' END AS euphk FROM kwpos k JOIN conj c ON 1 = 1 JOIN (SELECT 0 AS b UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) b ON 1 = 1 WHERE k.kw LIKE 'STANDARD%'""",
     "conotes": """SELECT 1 AS id, 'first note' AS txt UNION ALL SELECT 2, 'second note' UNION ALL SELECT 3, 'third note'""",
     "conjo_notes": """SELECT o.pos, o.conj, o.neg, o.fml, o.onum, n.id AS note FROM conjo o JOIN conotes n ON (o.pos + o.conj + n.id) % 4 = 0""",
 }
