@@ -47,7 +47,10 @@ BRIDGE_SQL: dict[str, str] = {
     "kwkinf": """SELECT CAST(row_number() OVER (ORDER BY o_orderpriority) AS INT) AS id, o_orderpriority AS kw FROM (SELECT DISTINCT o_orderpriority FROM orders) x""",
     "kinf": """SELECT j.entr, j.kanj, CAST(1 + (k.id + j.kanj) % 5 AS INT) AS ord, k.id AS kw FROM kanj j JOIN kwkinf k ON (j.entr + j.kanj + k.id) % 4 = 0""",
     "rinf": """SELECT j.entr, j.rdng, CAST(1 + (k.id + j.rdng) % 5 AS INT) AS ord, k.id AS kw FROM rdng j JOIN kwkinf k ON (j.entr + j.rdng + k.id) % 4 = 1""",
-    "texts": """SELECT 'd' || CAST(doc_id AS STRING) AS tid, text AS txt FROM documents UNION ALL SELECT 'p' || CAST(page_id AS STRING), html FROM pages UNION ALL SELECT 'c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING), text FROM conversations""",
+    "texts": """SELECT 'd' || CAST(doc_id AS STRING) AS tid, text AS txt FROM documents UNION ALL SELECT 'p' || CAST(page_id AS STRING), html FROM pages UNION ALL SELECT 'c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING), text FROM conversations
+ UNION ALL SELECT 'k' || CAST(p_partkey AS STRING), translate(p_name, 'abcdefghijklmnopqrstuvwxyz ', 'あいうえおかきくけこさしすせそたちつてとなにぬねのは・') FROM part
+ UNION ALL SELECT 'h' || CAST(p_partkey AS STRING), translate(p_type, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ ', '日本語漢字食見行来学生先電車時間分半年月火水木金土曜・') || CAST(p_size % 4 AS STRING) FROM part
+ UNION ALL SELECT 'w' || CAST(p_partkey AS STRING), translate(p_brand, 'Brand#', 'Ｂｒａｎｄ；') FROM part""",
     "label": """SELECT user_id AS file, event_id AS lab, CAST(event_id % 977 * 10 AS BIGINT) AS strt, CAST(event_id % 977 * 10 + 5 + event_id % 40 AS BIGINT) AS stop, props AS trns FROM events WHERE event_type = 'click'""",
     "clip": """SELECT user_id AS file, event_id AS id, CAST(event_id % 983 * 10 AS BIGINT) AS strt, CAST(5 + event_id % 60 AS BIGINT) AS leng, props AS trns FROM events WHERE event_type = 'view'""",
     "sndvol": """SELECT n_nationkey AS id, n_name AS loc, CAST(1 + n_nationkey % 2 AS INT) AS type FROM nation""",
@@ -55,7 +58,7 @@ BRIDGE_SQL: dict[str, str] = {
     "snd": """SELECT p_partkey AS id, CAST(p_partkey % 100 AS BIGINT) AS file, CAST(p_size * 100 AS BIGINT) AS strt, CAST(p_size AS BIGINT) AS leng, p_name AS trns FROM part""",
     "rdngsnd": """SELECT entr, rdng, CAST(1 AS INT) AS ord, CAST((entr + rdng) % 200 AS BIGINT) AS snd FROM rdng WHERE (entr + rdng) % 4 = 0""",
     "conj": """SELECT CAST(1 + r_regionkey AS INT) AS id, 'conj ' || r_name AS name FROM region""",
-    "conjo": """SELECT k.id AS pos, c.id AS conj, (b.b % 2 = 1) AS neg, (b.b >= 2) AS fml, CAST(1 + (k.id + b.b) % 2 AS INT) AS onum, CAST(1 + (k.id + c.id) % 2 AS INT) AS stem, CASE WHEN (k.id + c.id + b.b) % 7 = 0 THEN NULL ELSE 'oku' || CAST(b.b AS STRING) END AS okuri, CASE WHEN c.id % 2 = 0 THEN 'r' END AS euphr, CASE WHEN k.id % 3 = 0 THEN 'k' END AS euphk FROM kwpos k JOIN conj c ON 1 = 1 JOIN (SELECT 0 AS b UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) b ON 1 = 1 WHERE k.kw LIKE 'STANDARD%'""",
+    "conjo": """SELECT k.id AS pos, c.id AS conj, (b.b % 2 = 1) AS neg, (b.b >= 2) AS fml, CAST(1 + (k.id + b.b) % 2 AS INT) AS onum, CAST(1 + (k.id + c.id) % 2 AS INT) AS stem, CASE WHEN (k.id + c.id + b.b) % 7 = 0 THEN NULL ELSE 'oku' || CAST(b.b AS STRING) END AS okuri, CASE WHEN c.id % 2 = 0 THEN 'r' END AS euphr, CASE WHEN k.id % 3 = 0 THEN 'k' END AS euphk FROM kwpos k JOIN conj c ON 1 = 1 JOIN (SELECT 0 AS b UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) b ON 1 = 1 WHERE k.kw LIKE 'S%'""",
     "conotes": """SELECT 1 AS id, 'first note' AS txt UNION ALL SELECT 2, 'second note' UNION ALL SELECT 3, 'third note'""",
     "conjo_notes": """SELECT o.pos, o.conj, o.neg, o.fml, o.onum, n.id AS note FROM conjo o JOIN conotes n ON (o.pos + o.conj + n.id) % 4 = 0""",
 }
