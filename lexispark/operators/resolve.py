@@ -6,13 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lexispark.functions.text import is_written
 from lexispark.operators.pairs import no_kanji_readings, valid_pairs
 from lexispark.operators.skew import null_safe_join
 
 REF = ["entr", "sens", "typ", "ord"]
-_GROUP = ["kind", "rkey", "kkey", "tsrc", "tstat", "tunap", "rdng", "kanj", "nokanji"]
+_KEY = ["kind", "rkey", "kkey"]
+_PLACE = ["tsrc", "tstat", "tunap", "rdng", "kanj", "nokanji"]
+_GROUP = [*_KEY, *_PLACE]
 
 
 def _null(t: str) -> Column:
@@ -63,62 +66,87 @@ def _with_keys(refs: DataFrame) -> DataFrame:
     )
 
 
-def _grouped_candidates(refs: DataFrame, targets: dict[str, DataFrame], exact: bool) -> DataFrame:
-    """References with groups of possible targets.
+def _groups(named: DataFrame, exact: bool, ok: Column) -> DataFrame:
+    """One row per way to be named, corpus, status and position: entries in the group, lowest
+    id and most senses, and the sums that give the entry left when one of two goes.
 
-    Columns of `refs` plus tsrc, tstat, tunap, rdng, kanj, nokanji, nentr (entries in the
-    group), targ (lowest id) and nsens (most senses); nulls where nothing matches.  An
-    entry is never its own target.
-
-    Entries are grouped by text *before* the join: a reference meets one row per corpus,
-    status and position, however many entries share its text.  Groups that contain the
-    referring entry are corrected afterwards.  A group left with one entry follows from
-    the sums; `exact` also finds the lowest id and most senses of larger ones, which the
-    choice of a target never looks at.
+    `exact` adds what is lowest and most without the first ones, in groups of three and more.
     """
-    named = _targets(targets)
     top = named.groupBy(*_GROUP).agg(
         F.count(F.lit(1)).alias("nentr"), F.min("id").alias("_id1"), F.max(F.struct("nsens", "id")).alias("_s1"),
         F.sum(F.col("id").cast("decimal(38,0)")).alias("_ids"), F.sum("nsens").alias("_nss"),
     )
-    v = _with_keys(refs)
-    hits = v.join(top, ["kind", "rkey", "kkey"], "left")
-    # The referring entry among its own candidates.
-    own = named.select(F.col("id").alias("entr"), *_GROUP, F.col("nsens").alias("_own"))
-    out = null_safe_join(hits, own, ["entr", *_GROUP], "left")
-    self_ = F.col("_own").isNotNull()
-    n = F.col("nentr") - F.when(self_, 1).otherwise(0)
-    pair = self_ & (n == 1)
-    targ = F.when(pair, (F.col("_ids") - F.col("entr")).cast("bigint"))
-    nsens = F.when(pair, F.col("_nss") - F.col("_own"))
-    if exact:
-        first, most = F.col("_id1") == F.col("entr"), F.col("_s1.id") == F.col("entr")
-        touched = out.where(self_ & (n > 1) & (first | most)).select(*_GROUP).distinct()
-        rest = null_safe_join(named, touched, _GROUP, "left_semi")
-        second = null_safe_join(rest, top.select(*_GROUP, "_id1", "_s1"), _GROUP).groupBy(*_GROUP).agg(
+    if not exact:
+        top = top.withColumns({"_id2": _null("bigint"), "_s2": _null("bigint")})
+    else:
+        large = top.where("nentr > 2").select(*_GROUP, "_id1", "_s1")
+        second = null_safe_join(named, large, _GROUP).groupBy(*_GROUP).agg(
             F.min(F.when(F.col("id") != F.col("_id1"), F.col("id"))).alias("_id2"),
             F.max(F.when(F.col("id") != F.col("_s1.id"), F.col("nsens"))).alias("_s2"),
         )
-        out = null_safe_join(out, second, _GROUP, "left")
-        targ = targ.when(self_ & first, F.col("_id2"))
-        nsens = nsens.when(self_ & most, F.col("_s2"))
-    out = out.withColumns(
-        {"_n": n, "targ": targ.otherwise(F.col("_id1")), "_ns": nsens.otherwise(F.col("_s1.nsens"))}
-    )
-    alone = F.col("_n") == 0
-    cols = ["tsrc", "tstat", "tunap", "rdng", "kanj", "nokanji", "targ"]
-    return out.select(
-        *refs.columns, *[F.when(~alone, F.col(c)).alias(c) for c in cols],
-        F.when(~alone, F.col("_n")).alias("nentr"), F.when(~alone, F.col("_ns")).alias("nsens"),
-    )
+        top = null_safe_join(top, second, _GROUP, "left")
+    return top.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+
+
+def _grouped_candidates(refs: DataFrame, named: DataFrame, groups: DataFrame, exact: bool) -> DataFrame:
+    """`refs` (with `_KEY`) with `_c`, the groups of possible targets as an array of structs.
+
+    Fields: tsrc, tstat, tunap, rdng, kanj, nokanji, targ (lowest id), nentr (entries in the
+    group), nsens (most senses), ok, and times (rows that the group stands for). An entry is
+    never its own target.
+
+    Entries are grouped by text *before* the join, and a text's groups are one row: a
+    reference stays one row, however many entries share its text. Groups that contain the
+    referring entry are corrected in that row. A group left with one entry follows from
+    the sums; `exact` also finds the lowest id and most senses of larger ones, which the
+    choice of a target never looks at.
+    """
+    own = named.groupBy(F.col("id").alias("entr")).agg(F.collect_list(F.struct(*_KEY, *_PLACE, "nsens")).alias("_own"))
+    mine = F.filter("_own", lambda o: F.forall(F.array(*[o[c] == F.col(c) for c in _KEY]), lambda x: x))
+    # Without the referring entry, a group is the same for all references to a text.
+    plain = F.struct(*_PLACE, F.col("_id1").alias("targ"), "nentr", F.col("_s1.nsens").alias("nsens"), F.col("_ok").alias("ok"), F.lit(1).alias("times"))
+    sums = F.struct(F.col("_s1.id").alias("most"), "_ids", "_nss", "_id2", "_s2")
+    texts = groups.groupBy(*_KEY).agg(F.collect_list(F.struct(plain.alias("g"), sums.alias("s"))).alias("_groups"))
+    out = refs.join(own, "entr", "left").withColumn("_own", F.when(F.size("_own") > 0, mine)).join(texts, _KEY, "left")
+
+    def corrected(x: Column) -> Column:
+        g, s = x["g"], x["s"]
+        same = F.filter("_own", lambda o: F.forall(F.array(*[o[c].eqNullSafe(g[c]) for c in _PLACE]), lambda y: y))
+        times, sense = F.size(same), F.get(same, F.lit(0))["nsens"]
+        n = g["nentr"] - F.when(times > 0, 1).otherwise(0)
+        pair = (times > 0) & (n == 1)
+        targ = F.when(pair, (s["_ids"] - F.col("entr")).cast("bigint"))
+        nsens = F.when(pair, s["_nss"] - sense)
+        if exact:
+            targ = targ.when((times > 0) & (g["targ"] == F.col("entr")), s["_id2"])
+            nsens = nsens.when((times > 0) & (s["most"] == F.col("entr")), s["_s2"])
+        return F.struct(
+            *[g[c].alias(c) for c in _PLACE], targ.otherwise(g["targ"]).alias("targ"), n.alias("nentr"),
+            nsens.otherwise(g["nsens"]).alias("nsens"), g["ok"].alias("ok"), F.greatest(times, F.lit(1)).alias("times"),
+        )
+
+    left = F.filter(F.transform("_groups", corrected), lambda g: g["nentr"] > 0)
+    return out.withColumn("_c", F.when(F.size("_own") > 0, left).otherwise(F.col("_groups.g"))).drop("_own", "_groups")
 
 
 def reference_candidates(refs: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     """R1 (a) / U1: references with groups of possible targets, one row of nulls where
-    nothing but the referring entry itself matched."""
-    out = _grouped_candidates(refs, targets, exact=True)
-    found = out.groupBy(*REF).agg(F.max(F.col("targ").isNotNull()).alias("_f"))
-    return out.join(found, REF).where("targ IS NOT NULL OR NOT _f").drop("_f").distinct()
+    nothing but the referring entry itself matched.
+
+    Adds tsrc, tstat, tunap, rdng, kanj, nokanji, targ, nentr and nsens. Whether a reference
+    is found is known from the number of its groups, so only references are shuffled, and
+    groups are made rows at the end.
+    """
+    named = _targets(targets)
+    groups = _groups(named, True, F.lit(True))
+    heads = groups.groupBy(*_KEY).agg(
+        F.count(F.lit(1)).alias("_n"), F.collect_list(F.when(F.col("nentr") == 1, F.col("_id1"))).alias("_lone")
+    )
+    others = F.coalesce("_n", F.lit(0)) > F.coalesce(F.size(F.filter("_lone", lambda i: i == F.col("entr"))), F.lit(0))
+    v = _with_keys(refs.dropna(subset=REF)).join(heads, _KEY, "left").withColumn("_here", others).drop("_n", "_lone")
+    v = v.repartition("entr").distinct().withColumn("_f", F.max("_here").over(W.partitionBy(*REF))).where("_here OR NOT _f")
+    out = _grouped_candidates(v, named, groups, exact=True).withColumn("_c", F.explode_outer("_c"))
+    return out.select(*refs.columns, *[f"_c.{c}" for c in (*_PLACE, "targ", "nentr", "nsens")])
 
 
 def resolve_references(
@@ -145,26 +173,32 @@ def resolve_references(
     if stop is not None:
         take = take & (F.col("entr") < stop)
     refs = refs.withColumn("_take", take)
-    cands = _grouped_candidates(refs.where("_take").select(*xresolv.columns), targets, exact=False)
     ok = F.col("tstat").isNull() | (F.col("tstat") == 2)
     if target_filter is not None:
         ok = ok & (F.col("tsrc").isNull() | target_filter)
+    named = _targets(targets)
+    taken = _with_keys(refs.where("_take").select(*REF, "rtxt", "ktxt"))
+    cands = _grouped_candidates(taken, named, _groups(named, False, ok), exact=False)
+
     # A group that held only the referring entry stands for "nothing found" unless
     # another group of the reference matched.
-    single = F.col("nentr") == 1
-    first = (F.col("rtxt").isNotNull() & (F.col("rdng") == 1)) | (F.col("ktxt").isNotNull() & (F.col("kanj") == 1))
-    rule = (
-        F.when(single & F.col("ktxt").isNull() & (F.col("rdng") == 1) & F.col("nokanji"), 2)
-        .when(single & F.coalesce(first, F.lit(False)), 3)
-        .when(single, 4)
-    )
-    found = F.col("targ").isNotNull()
-    pick = F.struct(rule.alias("rule"), "targ", "rdng", "kanj", "nsens")
-    per_ref = cands.groupBy(*REF).agg(
-        F.max(found).alias("_any"),
-        F.sum(F.when(found & ok, 1).otherwise(0)).alias("_rows"),
-        F.min(F.when(found & ok & rule.isNotNull(), pick)).alias("_p"),
+    def pick(g: Column) -> Column:
+        single = g["nentr"] == 1
+        first = (F.col("rtxt").isNotNull() & (g["rdng"] == 1)) | (F.col("ktxt").isNotNull() & (g["kanj"] == 1))
+        rule = (
+            F.when(single & F.col("ktxt").isNull() & (g["rdng"] == 1) & g["nokanji"], 2)
+            .when(single & F.coalesce(first, F.lit(False)), 3)
+            .when(single, 4)
+        )
+        return F.when(rule.isNotNull(), F.struct(rule.alias("rule"), *[g[c].alias(c) for c in ("targ", "rdng", "kanj", "nsens")]))
+
+    fit = F.filter("_c", lambda g: g["ok"])
+    cands = cands.select(
+        *REF, (F.coalesce(F.size("_c"), F.lit(0)) > 0).alias("_any"),
+        F.coalesce(F.aggregate(fit, F.lit(0), lambda n, g: n + g["times"]), F.lit(0)).alias("_rows"),
+        F.array_min(F.transform(fit, pick)).alias("_p"),
     )
+    per_ref = cands.groupBy(*REF).agg(F.max("_any").alias("_any"), F.sum("_rows").alias("_rows"), F.min("_p").alias("_p"))
     out = refs.join(per_ref, REF, "left")
     sense = F.when(F.coalesce("tsens", F.lit(0)) == 0, 1).otherwise(F.col("tsens"))
     outcome = (

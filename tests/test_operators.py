@@ -246,6 +246,30 @@ def test_candidates_never_the_entry_itself(rows):
     assert tuples(resolve.reference_candidates(x.where("entr = 1"), t), "entr", "nentr", "targ") == [(1, None, None)]
 
 
+def test_candidates_of_repeated_references(rows):
+    """A reference with several texts is found if one is; rows that come twice count twice in
+    the choice of a rule, and not as candidates."""
+    t = _lexicon(rows)
+    t["entr"] = t["entr"].where("id <= 3 AND stat = 2")
+    t["rdng"] = rows("entr BIGINT, rdng INT, txt STRING", (1, 1, "s"), (2, 1, "s"), (2, 1, "s"), (3, 2, "u"), (3, 2, "u"))
+    t["kanj"] = rows("entr BIGINT, kanj INT, txt STRING")
+    x = rows(
+        REFS, (1, 1, 3, 1, "s", None, None, None), (1, 1, 3, 1, "no", None, None, None), (1, 1, 3, 1, "s", None, None, None), (2, 1, 3, 1, "s", None, None, None),
+        (3, 1, 3, 1, "u", None, None, None), (3, 1, 3, 2, None, None, None, None), (None, 1, 3, 1, "s", None, None, None))
+    got = tuples(resolve.reference_candidates(x, t), "entr", "ord", "rdng", "nentr", "targ")
+    assert got == [(1, 1, 1, 2, 2), (2, 1, 1, 2, 1), (3, 1, 2, 1, 3), (3, 2, None, None, None)]
+    outcomes = tuples(resolve.resolve_references(x, t["entr"], t), "entr", "ord", "outcome")
+    assert outcomes == [(1, 1, "ambiguous"), (1, 1, "ambiguous"), (1, 1, "ambiguous"), (2, 1, "ambiguous"), (3, 1, "rule4"), (3, 2, "not_found")]
+
+
+def test_candidates_without_a_row_for_each_group(rows, spark):
+    """References are shuffled as one row each: groups are made rows after the last shuffle."""
+    t = _lexicon(rows)
+    out = resolve.reference_candidates(rows(REFS, (9, 1, 3, 1, "s", None, None, None)), t)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(_c" in plan and plan.index("Generate explode(_c") < plan.index("Join")
+
+
 def test_strict_resolution(rows):
     t = _lexicon(rows)
     q = rows("entr INT, sens INT, typ INT, ord INT, rtxt STRING, ktxt STRING, senses ARRAY<INT>, enum BIGINT, corpus INT",
