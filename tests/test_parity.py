@@ -4,7 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lexispark.plans.bridge import DRIVER_TABLES
+from compared_rows import tuples
+from lexispark.plans.bridge import DRIVER_TABLES, TASK_BYTES, TASK_ROWS, small_tasks
 
 SF = "/root/testdata/sf0.001"
 PICK = ["j1_headwords", "a2_entry_summary", "a6_group_counts", "w3_sequence_gaps", "q19_deleted_and_active", "e2_edit_paths", "j11_align_clips", "r2_drop_resolved", "g1_history_calendar_stream"]
@@ -32,3 +33,20 @@ def test_parity(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_audits_make_only_the_tables_they_read(spark, tmp_path):
+    """An audit of entries reads orders, and neither lines nor the references made from them."""
+    spark.createDataFrame([(1, 8, "F"), (2, 8, "F"), (4, 8, "F"), (5, 8, "O")], "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING").selectExpr(
+        "*", "DATE '2024-01-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    assert tuples(entry.queries()["q19_deleted_and_active"](spark, str(tmp_path))) == [(5, 1, 9, 1)]
+
+
+def test_tables_are_made_in_small_tasks(spark):
+    """The partitions follow the rows, and the session's settings come back."""
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    for rows, parts in ((0, before[0]), (TASK_ROWS * 50 + 1, "51")):
+        with small_tasks(spark, rows):
+            assert spark.conf.get(keys[0]) == parts and int(spark.conf.get(keys[1])) == TASK_BYTES
+        assert [spark.conf.get(k) for k in keys] == before
