@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm.embed_dedup import fit_cells
+from lexispark.llm.shared import pieces, release, while_written
 
 BUCKETS = 4096
 CENTROIDS = 4  # of each language
@@ -83,14 +84,16 @@ def inverse_frequency(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(BUCKETS, np.int64), 0
-        for batch in batches:
+        for batch in pieces(batches):
             for text in batch["text"]:
                 if (c := ngram_counts(text)) is not None:
                     df += c > 0
                     n += 1
         yield pd.DataFrame({"bucket": np.arange(BUCKETS + 1), "n": np.append(df, n)})
 
-    rows = docs.select("text").mapInPandas(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    counts = docs.select("text").mapInPandas(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    with while_written(docs.sparkSession):
+        rows = counts.collect()
     n = np.zeros(BUCKETS + 1)
     for r in rows:
         n[r["bucket"]] = r["n"]
@@ -104,21 +107,26 @@ def fit(labelled: DataFrame, idf: np.ndarray, sample: int = SAMPLE) -> dict[str,
     picked = picked.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30) < sample / F.col("_n"))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             counts = [ngram_counts(t) for t in batch["text"]]
             v = [None if c is None else vector(c, idf).astype(np.float32) for c in counts]
             batch = batch.assign(size=[-1 if c is None else size_class(c) for c in counts], v=v)
             yield batch[batch["v"].notna()][["lang", "doc_id", "size", "v"]]
 
     def cluster(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(p.sort_values("doc_id")["v"].to_list()).astype(np.float64)
+        p = p.sort_values("doc_id")
+        x = np.stack(p["v"].to_list(), dtype=np.float64)
         c = fit_cells(x, min(CENTROIDS, len(x)))
-        low = limits(p.sort_values("doc_id")["size"].to_numpy(), (x @ c.T).max(axis=1))
+        low = limits(p["size"].to_numpy(), (x @ c.T).max(axis=1))
+        del x
+        release()
         return pd.DataFrame({"lang": key[0], "c": list(c), "low": [low] * len(c)})
 
     rows = picked.select("lang", "doc_id", "text").mapInPandas(vectors, "lang string, doc_id bigint, size int, v array<float>")
     found: dict[str, list] = {}
-    for lang, c, low in rows.groupBy("lang").applyInPandas(cluster, "lang string, c array<double>, low array<double>").collect():
+    with while_written(labelled.sparkSession):
+        centres = rows.groupBy("lang").applyInPandas(cluster, "lang string, c array<double>, low array<double>").collect()
+    for lang, c, low in centres:
         found.setdefault(lang, []).append((c, low))
     return {lang: (np.array([c for c, _ in rows]), np.array(rows[0][1])) for lang, rows in sorted(found.items())}
 
@@ -127,22 +135,27 @@ def predict(docs: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]], id
     """The rows and columns of ``docs`` with lang_pred, score and rejected."""
     held = docs.sparkSession.sparkContext.broadcast((model, idf))  # CENTROIDS x BUCKETS numbers a language
 
-    def run(text: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         languages, idf = held.value
-        names, out = list(languages), []
+        names = list(languages)
         all_ = np.concatenate([c for c, _ in languages.values()]) if names else None
         first = np.cumsum([0, *[len(c) for c, _ in languages.values()]])[:-1]
-        for t in text:
-            c = ngram_counts(t) if names else None
-            if c is None:
-                out.append(("und", 0.0, True))
-                continue
-            near = np.maximum.reduceat(all_ @ vector(c, idf), first)
-            best = int(near.argmax())
-            out.append((names[best], float(min(1.0, max(0.0, near[best]))), bool(near[best] < languages[names[best]][1][size_class(c)])))
-        return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
-
-    run.__annotations__ = {"text": pd.Series, "return": pd.DataFrame}
+        try:
+            for text in batches:
+                out = []
+                for t in text:
+                    c = ngram_counts(t) if names else None
+                    if c is None:
+                        out.append(("und", 0.0, True))
+                        continue
+                    near = np.maximum.reduceat(all_ @ vector(c, idf), first)
+                    best = int(near.argmax())
+                    out.append((names[best], float(min(1.0, max(0.0, near[best]))), bool(near[best] < languages[names[best]][1][size_class(c)])))
+                yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
+        finally:
+            release()
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     names = ("lang_pred", "score", "rejected")
     judged = docs.withColumn("_lang", F.pandas_udf(run, "lang_pred string, score double, rejected boolean")("text"))
     return judged.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], *[F.col(f"_lang.{c}") for c in names])

@@ -290,3 +290,11 @@ def test_leaks_without_held_sketches(spark, documents, monkeypatch, prose):
     assert sorted(map(tuple, decontaminate.leaks(documents, items).collect()), key=str) == held and held
     assert decontaminate.leaks(documents, items.limit(0)).collect() == []
     assert decontaminate.leaks(documents.limit(0), items).collect() == []
+
+
+def test_languages_are_learned_in_small_batches(documents, spark, monkeypatch):
+    """What is learned is collected, not stored, and gets batches of bounded size all the same."""
+    seen, before = [], langid.while_written
+    monkeypatch.setattr(langid, "while_written", lambda s: seen.append(s) or before(s))
+    langid.identify(documents).count()
+    assert len(seen) == 2
