@@ -303,13 +303,19 @@ def realign_reverse_xrefs(
     `links` has old, new entry ids; `old` / `new` hold rdng, kanj (and new sens).  Adds
     `outcome`: kept, no_sense, no_reading or no_kanji; only kept rows stay valid.
     """
-    x = xref.join(links.select(F.col("old").alias("xentr"), F.col("new").alias("_new")), "xentr")
-    n = new["sens"].groupBy(F.col("entr").alias("_new")).agg(F.count(F.lit(1)).alias("_ns"))
-    x = x.join(n, "_new", "left")
+    moves = links.select(F.col("old").alias("xentr"), F.col("new").alias("_new"))
+    moves = moves.join(new["sens"].groupBy(F.col("entr").alias("_new")).agg(F.count(F.lit(1)).alias("_ns")), "_new", "left")
     for o in ("rdng", "kanj"):
-        was = old[o].select(F.col("entr").alias("xentr"), F.col(o), F.col("txt").alias(f"_t{o}"))
-        now = new[o].select(F.col("entr").alias("_new"), F.col("txt").alias(f"_t{o}"), F.col(o).alias(f"_n{o}"))
-        x = x.join(was, ["xentr", o], "left").join(now, ["_new", f"_t{o}"], "left")
+        items = lambda t, key, name: t[o].groupBy(F.col("entr").alias(key)).agg(F.collect_list(F.struct(F.col(o).alias("n"), "txt")).alias(name))
+        moves = moves.join(items(old, "xentr", f"_was{o}"), "xentr", "left").join(items(new, "_new", f"_now{o}"), "_new", "left")
+    # What a link knows of its two entries is one row, so references meet it in one join.
+    x = xref.join(moves, "xentr")
+    for o in ("rdng", "kanj"):
+        none = F.array(F.lit(None).cast(dict(new[o].dtypes)[o]))
+        or_none = lambda c: F.when(F.size(c) > 0, c).otherwise(none)  # noqa: B023, E731
+        numbers = lambda w: or_none(F.transform(F.filter(f"_now{o}", lambda n: n["txt"] == w["txt"]), lambda n: n["n"]))  # noqa: B023, E731
+        was = F.filter(f"_was{o}", lambda w: w["n"] == F.col(o))  # noqa: B023
+        x = x.withColumn(f"_n{o}", F.explode(or_none(F.flatten(F.transform(was, numbers))))).drop(f"_was{o}", f"_now{o}")
     outcome = (
         F.when(F.col("xsens") > F.coalesce("_ns", F.lit(0)), "no_sense")
         .when(F.col("rdng").isNotNull() & F.col("_nrdng").isNull(), "no_reading")

@@ -378,6 +378,22 @@ def test_realign(rows):
     assert tuples(got, "xref", "xentr", "rdng", "outcome") == [(1, 2, 2, "kept"), (2, 1, 1, "no_sense"), (3, 1, 2, "no_reading"), (4, 1, None, "no_kanji")]
 
 
+def test_realign_joins_references_once(rows):
+    """What the two entries hold is put beside their link; rows of a number and equal texts multiply."""
+    x = rows("entr BIGINT, sens INT, xref INT, typ INT, xentr BIGINT, xsens INT, rdng INT, kanj INT", (9, 1, 1, 3, 1, 1, 1, None), (9, 1, 2, 3, 5, 1, 1, None))
+    r, k = "entr BIGINT, rdng INT, txt STRING", rows("entr BIGINT, kanj INT, txt STRING")
+    old = {"rdng": rows(r, (1, 1, "a"), (1, 1, "b"), (1, 1, None)), "kanj": k}
+    new = {"rdng": rows(r, (2, 3, "a"), (2, 4, "a"), (2, 5, None)), "kanj": k, "sens": rows("entr BIGINT, sens INT", (2, 1))}
+    got = edits.realign_reverse_xrefs(x, rows("old BIGINT, new BIGINT", (1, 2), (5, None)), old, new)
+    want = [(1, 1, 1, "no_reading"), (1, 1, 1, "no_reading"), (1, 2, 3, "kept"), (1, 2, 4, "kept"), (2, 5, 1, "no_sense")]
+    assert sorted(tuples(got, "xref", "xentr", "rdng", "outcome")) == want
+    node = got._jdf.queryExecution().optimizedPlan()
+    while node.children().size() == 1:
+        node = node.children().head()
+    sides = [node.children().apply(i).toString() for i in range(2)]
+    assert min(s.count("Join") for s in sides) == 0  # the references go into the last join as they are
+
+
 def test_remove_tag_needs_both_id_and_name(rows):
     e = rows(ENTR, (1, 1, 2, 1, None, False))
     tags = rows("entr BIGINT, sens INT, ord INT, kw INT", (1, 1, 1, 7), (1, 3, 1, 7), (1, 3, 2, 8))

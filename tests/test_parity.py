@@ -5,7 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from compared_rows import tuples
-from lexispark.plans.bridge import DRIVER_TABLES, TASK_BYTES, TASK_ROWS, small_tasks
+from lexispark.operators.audit import gathered
+from lexispark.plans.bridge import DRIVER_TABLES, TASK_BYTES, TASK_ROWS, Bridge, small_tasks
 
 SF = "/root/testdata/sf0.001"
 PICK = ["j1_headwords", "a2_entry_summary", "a6_group_counts", "w3_sequence_gaps", "q19_deleted_and_active", "e2_edit_paths", "j11_align_clips", "r2_drop_resolved", "g1_history_calendar_stream"]
@@ -50,3 +51,12 @@ def test_tables_are_made_in_small_tasks(spark):
         with small_tasks(spark, rows):
             assert spark.conf.get(keys[0]) == parts and int(spark.conf.get(keys[1])) == TASK_BYTES
         assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_rows_of_entries_meet_without_a_shuffle(spark):
+    """Tables in buckets by entry are gathered where they are, none of them shuffled."""
+    b = Bridge(spark, SF)
+    t = b.tables("entr", "rdng", "sens", "gloss")
+    both = gathered({n: (df, "id" if n == "entr" else "entr", ["src"] if n == "entr" else [n]) for n, df in t.items()})
+    assert both.count() == b.driver("orders").count()
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
