@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compared_rows import tuples
+from lexispark.operators.assemble import assemble_entries
 from lexispark.operators.audit import gathered
 from lexispark.plans.bridge import DRIVER_TABLES, TASK_BYTES, TASK_ROWS, Bridge, small_tasks
 
@@ -60,3 +61,12 @@ def test_rows_of_entries_meet_without_a_shuffle(spark):
     both = gathered({n: (df, "id" if n == "entr" else "entr", ["src"] if n == "entr" else [n]) for n, df in t.items()})
     assert both.count() == b.driver("orders").count()
     assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joins_by_entry_hold_no_rows(spark):
+    """Buckets are sorted files: many tables are grouped and joined by entry without sorts or hash maps."""
+    t = Bridge(spark, SF).tables("entr", "rdng", "kanj", "sens", "gloss")
+    e = assemble_entries(t)
+    assert e.count() == t["entr"].count()
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "Sort [" not in plan and "hashpartitioning" not in plan
