@@ -2,14 +2,16 @@
 
 Equal vectors of a label are one vector with a weight, so a group of copies is one row of
 the comparisons. A label of n different vectors has about sqrt(n) / SPLIT cells, from some
-seventeen vectors on: cells grow in number and in size with the data. Centroids are fitted
-on a sample by hash, in two levels where they are many.
+seventeen vectors on, and no more than make cells of a quarter block, as each cell more
+means more visits. Centroids are fitted on a sample by hash, in two levels where they are many.
 
 Exact: a vector is compared in its own cell and visits each cell of lower number that can
 hold a partner. If y has home h and x home c, then (y - x) . (C_h - C_c) is at least
 y . (C_h - C_c), so y need not visit c where that exceeds |C_h - C_c| times the largest
-distance of two linked vectors. Cells are dealt out to blocks, each pair of blocks is one
-matrix product in one task, and only counts and a forest of links leave it.
+distance of two linked vectors. The vectors at home in a cell and its visitors are dealt out
+to blocks, each pair of blocks of the former, or of one and the other, is multiplied in one
+task, by tiles, and only counts and a forest of links leave it. Visitors are not compared
+with each other.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 
 from lexispark.llm.shared import BROADCAST_ROWS, components, if_small, join_split, stored
 
-BLOCK = 512  # vectors of one side of a product
-SPLIT = 4  # a label of n vectors has a SPLIT-th of sqrt(n) cells
+BLOCK, SIDE = 1 << 14, 8 << 20  # vectors of one block at most, and their bytes
+TILE = 512, 2048  # rows and columns of one product
+SPLIT = 4  # a label of n vectors has a SPLIT-th of sqrt(n) cells at most
 SAMPLE_PER_CELL = 32  # vectors (expected) that centroids are fitted on
 FLAT = 64  # cells that are fitted at once; more are fitted in two levels
 HELD = 1 << 15  # centroids that each task may hold; with more, labels meet theirs in a join
@@ -74,7 +77,7 @@ def centroids(units: DataFrame) -> DataFrame:
     """(_label, _dim, _n, c) of the groups that have more than one cell, fitted on about
     SAMPLE_PER_CELL vectors a cell."""
     sizes = units.groupBy("_label", "_dim").agg(F.count(F.lit(1)).alias("_n"))
-    many = stored(sizes.withColumn("_k", F.ceil(F.sqrt("_n") / SPLIT).cast("int")).where("_k > 1"), "cell_numbers")
+    many = stored(sizes.withColumn("_k", F.ceil(F.least(F.sqrt("_n") / SPLIT, F.col("_n") * 4 / BLOCK + 2)).cast("int")).where("_k > 1"), "cell_numbers")
     picked = units.select("_rid", "_label", "_dim", "unit").join(if_small(many), ["_label", "_dim"])
     picked = picked.where(F.pmod(F.xxhash64("_rid"), F.lit(1 << 20)) * F.col("_n") < F.col("_k") * (SAMPLE_PER_CELL << 20))
 
@@ -134,17 +137,15 @@ def cells(units: DataFrame, cosine: float) -> DataFrame:
     return dealt.groupBy(*by).cogroup(copies.select(*by, "c").groupBy(*by)).applyInPandas(meet, schema)
 
 
-def _forest(mask: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The lowest id that links (a symmetric matrix) reach, for each row."""
-    root, free = ids.copy(), mask.any(axis=1)
-    while free.any():
-        group = np.zeros(len(ids), bool)
-        front = np.array([free.argmax()])
-        while len(front):
-            group[front] = True
-            front = np.flatnonzero(mask[front].any(axis=0) & ~group)
-        root[group] = ids[group].min()
-        free &= ~group
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` (the lowest place that links reach, for each place) with links (a, b) more."""
+    while len(a):
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        np.minimum.at(root, b, a)
+        while (root[root] != root).any():
+            root = root[root]
     return root
 
 
@@ -164,25 +165,48 @@ def collapsed(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed, stored(single, "single")
 
 
+def dealt_blocks(placed: DataFrame) -> DataFrame:
+    """``placed`` with _block, and a row for each product (_i, _j) it takes part in. Blocks of
+    vectors at home are numbered from 0 up, those of visitors from -1 down."""
+    by = ["_label", "_dim", "_cell"]
+    side = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.lit(SIDE) / (F.col("_dim") * 8)))
+    n = placed.groupBy(*by).agg(F.count_if(F.col("_home")).alias("_n"), F.count_if(~F.col("_home")).alias("_v"))
+    n = n.select(*by, (F.col("_n") / side).cast("int").alias("_last"), F.ceil(F.col("_v") / side).cast("int").alias("_visits"))
+    hashed = lambda m: F.pmod(F.xxhash64("_rid"), F.greatest(F.lit(1), m)).cast("int")
+    rows = placed.join(n, by).withColumn("_block", F.when(F.col("_home"), hashed(F.col("_last") + 1)).otherwise(-1 - hashed(F.col("_visits"))))
+    home = F.sequence(F.lit(0), F.col("_last"))
+    visits = F.when(F.col("_home") & (F.col("_visits") > 0), F.sequence(F.lit(-1), -F.col("_visits"), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_other", F.explode(F.concat(home, visits))).drop("_last", "_visits")
+    low, high = F.least("_block", "_other"), F.greatest("_block", "_other")
+    return rows.withColumns({"_i": F.when(low < 0, high).otherwise(low), "_j": F.when(low < 0, low).otherwise(high)}).drop("_other")
+
+
 def block_links(placed: DataFrame, cosine: float) -> DataFrame:
     """_rid, _low, n, root: links of each vector in each pair of blocks, by weight."""
-    last = placed.groupBy("_label", "_dim", "_cell").agg((F.count(F.lit(1)) / BLOCK).cast("int").alias("_last"))
-    dealt = placed.join(last, ["_label", "_dim", "_cell"])
-    dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("_rid"), F.col("_last") + 1).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_last"))))
-    dealt = dealt.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")}).drop("_other", "_last")
 
     def product(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        x, low, home = np.stack(p["unit"].to_list()), p["_low"].to_numpy(), p["_home"].to_numpy(bool)
-        block, (i, j) = p["_block"].to_numpy(), key[-2:]
-        twice, rid = p["_twice"].to_numpy(bool), p["_rid"].to_numpy()
-        mask = (x @ x.T >= cosine) & (rid[:, None] != rid) & (home[:, None] | home)
-        mask &= ~((low[:, None] == low) & twice[:, None] & twice)
-        if i != j:
-            mask &= block[:, None] != block
-        out = pd.DataFrame({"_rid": rid, "_low": low, "n": mask @ p["_weight"].to_numpy(), "root": _forest(mask, low)})
-        return out[out["n"] > 0]
-
+        p = p.sort_values("_low", kind="stable")
+        low, rid, twice, weight = p["_low"].to_numpy(), p["_rid"].to_numpy(), p["_twice"].to_numpy(bool), p["_weight"].to_numpy()
+        x, block, (i, j) = np.stack(p["unit"].to_list()), p["_block"].to_numpy(), key[-2:]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        n, root = np.zeros(len(p), np.int64), np.arange(len(p))
+        for s in range(0, len(left), TILE[0]):
+            rows = left[s : s + TILE[0]]
+            for t in range(s if i == j else 0, len(right), TILE[1]):
+                columns = right[t : t + TILE[1]]
+                near = x[rows] @ x[columns].T >= cosine
+                if not near.any():
+                    continue
+                a, b = np.nonzero(near)
+                a, b = rows[a], columns[b]
+                ok = ~((low[a] == low[b]) & twice[a] & twice[b]) & (a < b if i == j else rid[a] != rid[b])
+                a, b = a[ok], b[ok]
+                np.add.at(n, a, weight[b])
+                np.add.at(n, b, weight[a])
+                root = _joined(root, a, b)
+        return pd.DataFrame({"_rid": rid, "_low": low, "n": n, "root": low[root]})[n > 0]
+
+    dealt = dealt_blocks(placed).select("_label", "_dim", "_cell", "_i", "_j", "_block", "_rid", "_low", "_twice", "_weight", "unit")
     return dealt.groupBy("_label", "_dim", "_cell", "_i", "_j").applyInPandas(product, "_rid bigint, _low bigint, n bigint, root bigint")
 
 
