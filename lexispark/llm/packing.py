@@ -11,9 +11,11 @@ rows per length. Pieces then take their places by their rank within their length
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,8 +26,17 @@ from lexispark.llm.shared import pieces, stored, with_rank
 
 _STOP = re.compile(r"(?<=[^\W\d_])(?=[!-/:-@\[-^{-~`]+(?:\s|\Z))")
 _tokenizers: dict[str, _WordIds] = {}
-#: Entries of the memo of word ids (about 200 bytes each), for the words of one task.
+#: Entries of the memo of word ids (about 200 bytes each), for the words of one task. When half
+#: as many are new, they become the older half, from which words that come again are taken over.
 MEMO_IDS = 150_000
+#: Characters whose UTF-8 forms have every byte from 128 on that UTF-8 uses.
+_UNITS = "".join(map(chr, range(0x80, 0x800))) + "\u0800\u1000\u2000\u3000\u4000\u5000\u6000\u7000\u8000\u9000\ua000\ub000\uc000\ud000\ue000\uf000\U00010000\U00050000\U00090000\U000d0000\U00100000"
+
+
+@cache
+def _pack(n: int):
+    """n numbers to little-endian unsigned 32-bit numbers."""
+    return struct.Struct(f"<{n}I").pack
 
 
 class _WordIds(dict):
@@ -44,24 +55,33 @@ class _WordIds(dict):
         self.special = {w: np.array([i], "<u4").tobytes() for w, i in special.items()}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if special else lambda text: [text]
-        self.to_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(_UNITS)[0][0]
+        self.to_letters = dict(zip(_UNITS.encode(), as_bytes))  # the letter that stands for a byte
+        self.older: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
 
     def __missing__(self, word: str) -> bytes:
+        if (out := self.older.pop(word, None)) is not None:
+            self[word] = out
+            return out
         if word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word):  # one unit, as it is
-            unit = word if word.isascii() else self.to_bytes(word)[0][0]
+            unit = word if word.isascii() else word.encode().decode("latin-1").translate(self.to_letters)
             ids = [t.id for t in self.model.tokenize(unit)]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = out = np.array(ids, "<u4").tobytes()
+        self[word] = out = _pack(len(ids))(*ids)
         return out
 
     def ids(self, text: str) -> bytes:
-        if len(self) > MEMO_IDS:
+        if len(self) > MEMO_IDS // 2:
+            self.older = dict(self)
             self.clear()
         low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         return b"".join(map(self.__getitem__, _STOP.sub(" ", low).replace("\n", " ").split(" ")))
 
-
     def all_ids(self, text: str) -> bytes:
         parts = self.cut(text)  # every second one is a special token
         if len(parts) == 1:
@@ -102,7 +122,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int =
                     rows.append(row + (np.frombuffer(part, "<i4"),) * keep_ids)
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])
             yield out.astype({"doc_id": "Int64"})
-        _word_ids(path).clear()
+        _word_ids(path).forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, schema)
 
