@@ -69,3 +69,7 @@ def test_rules_meet_pairs_without_a_shuffle(words):
     assert "array_sort" not in at and "hashpartitioning(pos" not in at
 
 
+def test_assembly_broadcasts_no_children(tables):
+    assert "Broadcast" not in plan(assemble_entries(tables))
+
+
