@@ -73,3 +73,7 @@ def test_assembly_broadcasts_no_children(tables):
     assert "Broadcast" not in plan(assemble_entries(tables))
 
 
+def test_lines_broadcast_no_children(tables, kw):
+    assert "Broadcast" not in plan(edict_out.edict_lines(tables, kw))
+
+
