@@ -77,3 +77,31 @@ def test_lines_broadcast_no_children(tables, kw):
     assert "Broadcast" not in plan(edict_out.edict_lines(tables, kw))
 
 
+@pytest.fixture(scope="module")
+def bridge(spark, tmp_path_factory):
+    """A data folder of a few rows."""
+    at = str(tmp_path_factory.mktemp("few"))
+    made = {
+        "region": "SELECT 0 AS r_regionkey, 'A' AS r_name", "nation": "SELECT 0 AS n_nationkey, 'N' AS n_name",
+        "customer": "SELECT 1L AS c_custkey, 'c' AS c_name, 'BUILDING' AS c_mktsegment, 0 AS c_nationkey", "supplier": "SELECT 1L AS s_suppkey, 'Supplier#1' AS s_name, 0 AS s_nationkey",
+        "part": "SELECT id AS p_partkey, concat('small ring ', id) AS p_name, 'STEEL' AS p_type, 'Brand#1' AS p_brand, 1 AS p_size FROM range(4)",
+        "orders": "SELECT id AS o_orderkey, 1L AS o_custkey, 'O' AS o_orderstatus, DATE '2020-01-01' AS o_orderdate, '1' AS o_orderpriority FROM range(5)",
+        "lineitem": "SELECT id DIV 3 AS l_orderkey, id % 4 AS l_partkey, 1L AS l_suppkey, CAST(1 + id % 3 AS INT) AS l_linenumber, 'O' AS l_linestatus, 'A' AS l_returnflag FROM range(15)",
+    }
+    for name, sql in made.items():
+        spark.sql(sql).write.parquet(f"{at}/{name}.parquet")
+    return Bridge(spark, at)
+
+
+def test_lines_to_read_are_chosen_without_broadcasts(bridge, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def seen(tables, kw):
+        raise Seen(plan(tables["entr"]), tables["entr"].count())
+
+    monkeypatch.setattr(catalog_io.edict_out, "edict_lines", seen)
+    with pytest.raises(Seen) as got:
+        catalog_io.s5(bridge)
+    at, n = got.value.args
+    assert n == 5 and "Broadcast" not in at
