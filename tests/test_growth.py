@@ -93,6 +93,14 @@ def bridge(spark, tmp_path_factory):
     return Bridge(spark, at)
 
 
+def test_new_numbers_keep_their_buckets(bridge):
+    up = lambda n: bridge.renumbered(n, 1, ("id", "entr", "dfrm"))
+    t = {n: up(n) for n in ("entr", "rdng", "sens")}
+    assert tuples(t["rdng"], "*") == tuples(bridge.rdng.withColumn("entr", F.col("entr") + 1), "*")
+    assert tuples(t["entr"], "id", "seq", "dfrm") == tuples(bridge.entr.select(F.col("id") + 1, "seq", F.col("dfrm") + 1), "*")
+    assert "Exchange" not in plan(assemble_entries(t))
+
+
 def test_lines_to_read_are_chosen_without_broadcasts(bridge, monkeypatch):
     class Seen(Exception):
         pass
