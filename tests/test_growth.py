@@ -77,6 +77,20 @@ def test_lines_broadcast_no_children(tables, kw):
     assert "Broadcast" not in plan(edict_out.edict_lines(tables, kw))
 
 
+def test_reference_marks_take_few_shuffles(spark, rows, tables):
+    x = rows("entr BIGINT, sens INT, typ INT, xentr BIGINT, xsens INT, xref INT", (1, 1, 3, 2, 1, 1), (2, 1, 3, 1, 2, 2), (2, 1, 3, 1, 1, 1), (2, 1, 3, None, 1, 3))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        out = refs.mark_seq_xrefs(refs.xref_sense_lists(x), tables["entr"])
+        assert plan(out).count("Exchange hashpartitioning") <= 7
+        got = tuples(out, "entr", "xref", F.array_join("xsenses", ","), "seq_xref")
+    finally:
+        spark.conf.set(key, before)
+    assert got == [(1, 1, "1", True), (2, 1, "1,2", True), (2, 2, "", True), (2, 3, "1", None)]
+
+
 @pytest.fixture(scope="module")
 def bridge(spark, tmp_path_factory):
     """A data folder of a few rows."""
