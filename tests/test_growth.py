@@ -48,6 +48,22 @@ def words(rows, tables):
             conjo, notes, t["restr"], t["stagr"], t["stagk"])
 
 
+@pytest.fixture(scope="module")
+def bridge(spark, tmp_path_factory):
+    """A data folder of a few rows."""
+    at = str(tmp_path_factory.mktemp("few"))
+    made = {
+        "region": "SELECT 0 AS r_regionkey, 'A' AS r_name", "nation": "SELECT 0 AS n_nationkey, 'N' AS n_name",
+        "customer": "SELECT 1L AS c_custkey, 'c' AS c_name, 'BUILDING' AS c_mktsegment, 0 AS c_nationkey", "supplier": "SELECT 1L AS s_suppkey, 'Supplier#1' AS s_name, 0 AS s_nationkey",
+        "part": "SELECT id AS p_partkey, concat('small ring ', id) AS p_name, 'STEEL' AS p_type, 'Brand#1' AS p_brand, 1 AS p_size FROM range(4)",
+        "orders": "SELECT id AS o_orderkey, 1L AS o_custkey, 'O' AS o_orderstatus, DATE '2020-01-01' AS o_orderdate, '1' AS o_orderpriority FROM range(5)",
+        "lineitem": "SELECT id DIV 3 AS l_orderkey, id % 4 AS l_partkey, 1L AS l_suppkey, CAST(1 + id % 3 AS INT) AS l_linenumber, 'O' AS l_linestatus, 'A' AS l_returnflag FROM range(15)",
+    }
+    for name, sql in made.items():
+        spark.sql(sql).write.parquet(f"{at}/{name}.parquet")
+    return Bridge(spark, at)
+
+
 def test_inflection_from_rules_equals_that_from_forms(words):
     forms, rules = inflect.inflect(*words), inflect.paradigms(*words)
     for make in (inflect.inflection_table, inflect.inflection_text):
@@ -57,11 +73,10 @@ def test_inflection_from_rules_equals_that_from_forms(words):
     assert tuples(forms, "id", "t", "onum") == [(1, "aff-plain", 1), (1, "neg-plain", 1), (1, "neg-plain", 2), (2, "aff-plain", 1)]
 
 
-def test_pairs_are_merged_by_entry(words):
+def test_pairs_are_merged_by_entry(bridge):
     """No table of entries is broadcast, and senses are looked up without a shuffle of their own."""
-    e, s, p, _, r, k, *_, no_pair, no_reading, no_kanji = words
-    at = plan(inflect.allowed_pairs(e, s, p, r, k, no_pair, no_reading, no_kanji))
-    assert "Broadcast" not in at and "LeftSemi" not in at
+    at = plan(inflect.allowed_pairs(*bridge.tables("entr", "sens", "pos", "rdng", "kanj", "restr", "stagr", "stagk").values()))
+    assert "Broadcast" not in at and "LeftSemi" not in at and "Exchange" not in at
 
 
 def test_rules_meet_pairs_without_a_shuffle(words):
@@ -69,12 +84,12 @@ def test_rules_meet_pairs_without_a_shuffle(words):
     assert "array_sort" not in at and "hashpartitioning(pos" not in at
 
 
-def test_assembly_broadcasts_no_children(tables):
-    assert "Broadcast" not in plan(assemble_entries(tables))
+def test_assembly_broadcasts_no_children(bridge):
+    assert "Broadcast" not in plan(assemble_entries(bridge.tables("entr", "rdng", "kanj", "sens", "gloss", "freq", "pos")))
 
 
-def test_lines_broadcast_no_children(tables, kw):
-    assert "Broadcast" not in plan(edict_out.edict_lines(tables, kw))
+def test_lines_broadcast_no_children(bridge, kw):
+    assert "Broadcast" not in plan(edict_out.edict_lines(bridge.tables("entr", "rdng", "kanj", "sens", "gloss", "freq", "pos"), kw))
 
 
 def test_reference_marks_take_few_shuffles(spark, rows, tables):
@@ -91,22 +106,6 @@ def test_reference_marks_take_few_shuffles(spark, rows, tables):
     assert got == [(1, 1, "1", True), (2, 1, "1,2", True), (2, 2, "", True), (2, 3, "1", None)]
 
 
-@pytest.fixture(scope="module")
-def bridge(spark, tmp_path_factory):
-    """A data folder of a few rows."""
-    at = str(tmp_path_factory.mktemp("few"))
-    made = {
-        "region": "SELECT 0 AS r_regionkey, 'A' AS r_name", "nation": "SELECT 0 AS n_nationkey, 'N' AS n_name",
-        "customer": "SELECT 1L AS c_custkey, 'c' AS c_name, 'BUILDING' AS c_mktsegment, 0 AS c_nationkey", "supplier": "SELECT 1L AS s_suppkey, 'Supplier#1' AS s_name, 0 AS s_nationkey",
-        "part": "SELECT id AS p_partkey, concat('small ring ', id) AS p_name, 'STEEL' AS p_type, 'Brand#1' AS p_brand, 1 AS p_size FROM range(4)",
-        "orders": "SELECT id AS o_orderkey, 1L AS o_custkey, 'O' AS o_orderstatus, DATE '2020-01-01' AS o_orderdate, '1' AS o_orderpriority FROM range(5)",
-        "lineitem": "SELECT id DIV 3 AS l_orderkey, id % 4 AS l_partkey, 1L AS l_suppkey, CAST(1 + id % 3 AS INT) AS l_linenumber, 'O' AS l_linestatus, 'A' AS l_returnflag FROM range(15)",
-    }
-    for name, sql in made.items():
-        spark.sql(sql).write.parquet(f"{at}/{name}.parquet")
-    return Bridge(spark, at)
-
-
 def test_new_numbers_keep_their_buckets(bridge):
     up = lambda n: bridge.renumbered(n, 1, ("id", "entr", "dfrm"))
     t = {n: up(n) for n in ("entr", "rdng", "sens")}
